@@ -1,0 +1,38 @@
+"""Connected components of a link table, distributed: hook to the least neighbour, jump pointers, contract, repeat."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spanwright.llm.common import settled
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for each node of links(a, b); component is the least node reachable.
+
+    A round costs a few joins and the contracted links at least halve in nodes, so rounds grow with the
+    logarithm of the largest component. Nodes without links do not occur; an empty table gives an empty one.
+    """
+    edges = settled(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tree = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up"))
+        tree = settled(tree)
+        while True:
+            above = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            tree = settled(tree.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("top") < F.col("up")).alias("moved")))
+            moved = tree.filter("moved").limit(1).count()
+            tree = tree.select("node", "up")
+            if not moved:
+                break
+        if labels is None:
+            labels = tree.select("node", F.col("up").alias("component"))
+        else:
+            step = tree.select(F.col("node").alias("component"), "up")
+            labels = settled(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        end_a, end_b = (tree.select(F.col("node").alias(k), F.col("up").alias(f"{k}_up")) for k in "ab")
+        edges = settled(edges.join(end_a, "a").join(end_b, "b").filter("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+        if not edges.limit(1).count():
+            return labels
