@@ -92,19 +92,38 @@ def _posterior(good: float, rates: Rates) -> Column:
 
 
 def estimate(votes: DataFrame) -> tuple[float, Rates]:
-    """The share of good documents and each rule's rates, from all rows' votes; an empty table gives the first guesses."""
-    patterns = settled(votes.groupBy(*(f"vote_{n}" for n, _, _ in RULES)).agg(F.count("*").alias("n")).coalesce(1))
-    good, rates = GOOD, {(n, *key): first for n, _, _ in RULES for key, (first, _, _) in RATES.items()}
-    weight = {"good": F.col("n") * F.col("p"), "bad": F.col("n") * (1 - F.col("p"))}
-    for _ in range(ROUNDS):
-        sums = [F.sum(w).alias(f"all_{kind}") for kind, w in weight.items()]
-        sums += [F.sum(F.when(F.col(f"vote_{n}") == (1 if vote == "good" else -1), weight[kind]).otherwise(0.0)).alias(f"{n}_{kind}_{vote}") for n, kind, vote in rates]
-        row = patterns.withColumn("p", _posterior(good, rates)).agg(*sums).first()
-        if not row["all_good"] or not row["all_bad"]:
-            break
-        good = min(max(row["all_good"] / (row["all_good"] + row["all_bad"]), GOOD_BOUNDS[0]), GOOD_BOUNDS[1])
-        rates = {(n, kind, vote): min(max(row[f"{n}_{kind}_{vote}"] / row[f"all_{kind}"], RATES[kind, vote][1]), RATES[kind, vote][2]) for n, kind, vote in rates}
-    return good, rates
+    """The share of good documents and each rule's rates, from all rows' votes; an empty table gives the first guesses.
+
+    Votes are counted by pattern; the few patterns make one row, on which an ``aggregate`` over the rounds carries
+    the estimates from step to step, so the whole fit is one SQL expression.
+    """
+    names = [n for n, _, _ in RULES]
+    cells = [(n, kind, vote) for n in names for kind, vote in RATES]
+    patterns = votes.groupBy(*(f"vote_{n}" for n in names)).agg(F.count("*").cast("double").alias("n"))
+    row = patterns.agg(F.array_sort(F.collect_list(F.struct(F.array(*(f"vote_{n}" for n in names)).alias("v"), "n"))).alias("t"))
+
+    def place(kind: str, vote: str) -> str:
+        return f"s[1 + {len(RATES)} * j + {list(RATES).index((kind, vote))}]"
+
+    def side(kind: str, share: str) -> str:
+        bad, good = place(kind, "bad"), place(kind, "good")
+        return f"aggregate(transform(x.v, (w, j) -> case w when -1 then {bad} when 1 then {good} else 1 - {bad} - {good} end), {share}, (a, f) -> a * f)"
+
+    def clipped(value: str, low: float, high: float) -> str:
+        return f"least(greatest({value}, {low}D), {high}D)"
+
+    def total(kind: str, rule: str = "") -> str:
+        weight = "x.n * x.p" if kind == "good" else "x.n * (1 - x.p)"
+        return f"aggregate(q, 0D, (a, x) -> a + {f'if({rule}, {weight}, 0D)' if rule else weight})"
+
+    rated = f"transform(t, x -> struct(x.v as v, x.n as n, {side('good', 's[0]')} as g, {side('bad', '1 - s[0]')} as b))"
+    rated = f"transform({rated}, x -> struct(x.v as v, x.n as n, x.g / (x.g + x.b) as p))"
+    each = ", ".join(clipped(f"{total(kind, f'x.v[j] = {1 if vote == "good" else -1}')} / {total(kind)}", *RATES[kind, vote][1:]) for kind, vote in RATES)
+    share = clipped(f"{total('good')} / ({total('good')} + {total('bad')})", *GOOD_BOUNDS)
+    step = f"transform(array({rated}), q -> concat(array({share}), flatten(transform(sequence(0, {len(names) - 1}), j -> array({each})))))[0]"
+    start = ", ".join(f"{v}D" for v in [GOOD, *(RATES[kind, vote][0] for _, kind, vote in cells)])
+    fit = row.select(F.expr(f"if(size(t) = 0, array({start}), aggregate(sequence(1, {ROUNDS}), array({start}), (s, k) -> {step}))").alias("s")).first()["s"]
+    return fit[0], dict(zip(cells, fit[1:], strict=True))
 
 
 def _voted(counted: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.llm import language_id, near_dedup, packing, quality_rules, substring_dedup
+from spanwright.llm import fingerprints, language_id, near_dedup, packing, quality_rules, sentencepiece, sharding, substring_dedup, token_counts, warc
+from spanwright.llm.common import Scratch, settled
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -22,12 +23,29 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(token_counts.with_token_counts(_read(spark, sf_dir)))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir)
     net = language_id.learned(docs, ~held_out())
     return language_id.identified(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.sampled(_read(spark, sf_dir))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(_read(spark, sf_dir), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(_read(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_read(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -36,6 +54,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(_read(spark, sf_dir), 50, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as legacy archives of both versions, converted to WARC and read back."""
+    pages = _read(spark, sf_dir, "pages")
+    hold = Scratch(spark)
+    try:
+        even = F.coalesce(F.col("page_id") % 2, F.lit(0)) == 0
+        for version, part in ((1, pages.filter(even)), (2, pages.filter(~even))):
+            warc.write_arc(part, f"{hold.root}/arc{version}", version)
+        records = warc.read_arc(spark, f"{hold.root}/arc1").unionByName(warc.read_arc(spark, f"{hold.root}/arc2"))
+        warc.write_warc(records, f"{hold.root}/warc")
+        return settled(warc.read_warc(spark, f"{hold.root}/warc").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"))
+    finally:
+        hold.close()
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir), 4, 80)
 
@@ -67,9 +100,14 @@ select doc_id, n_words, n_removed, sha256(array_to_string(left_words, ' ')) as k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_sharding": op5_sharding,
+    "op6_order_minhash": op6_order_minhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
 }
 
