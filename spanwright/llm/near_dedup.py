@@ -4,7 +4,7 @@ Every permutation of a document's shingle set gives two signature values, its mi
 hash evaluations a shingle make 512 values. They are banded into 64 keys of 8: a pair at similarity 0.8 shares no
 key with probability (1 - 0.8**8)**64, below 1e-5, one at 0.85 with 2e-9, while pairs below 0.4 rarely share one.
 Documents that share a key are only candidates. Each key's members are compared with its leaders, one at first and
-twice as many in each later round, first by signature agreement, then exactly on the full shingle sets. A key is
+16 times as many in each later round, first by signature agreement, then exactly on the full shingle sets. A key is
 finished when its members that have not yet led all lie in one component: then no pair across components is left
 untested, and groups of true copies are finished after one leader, without expanding them into pairs.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import Scratch, hashed_words, mix, pieces, settled, utf8, windows
-from spanwright.llm.components import components
+from spanwright.operators.components import components
 
 #: Permutations; values to a band; values kept for estimates; their agreement under which a pair is not compared in
 #: full: at similarity 0.8 the agreement of 128 values has a standard deviation of 0.035, five of which lie between.
@@ -118,11 +118,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _near_duplicates(texts: DataFrame, width: int, percent: int, hold: Scratch) -> DataFrame:
     signed = hold.keep(texts.mapInArrow(_sign(width), _SIGNED), "signed")
-    sets = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_a", "set_b")
-    first = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
-    same = settled(sets.join(first, ["set_a", "set_b"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    known = signed.filter("n_shingles > 0 and doc_id is not null")
+    first = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
+    copies = known.select("doc_id", "set_a", "set_b").join(first, ["set_a", "set_b"]).filter("doc_id <> first")
+    copies = settled(copies.groupBy("doc_id").agg(F.min("first").alias("first")))
 
-    heads = signed.filter("n_shingles > 0 and doc_id is not null").join(same.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    heads = known.join(copies, "doc_id", "left_anti")
     banded = heads.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("band")
     members = hold.keep(banded.join(shared, "band"), "members")
@@ -130,18 +131,15 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int, hold: Scratch)
     sketches = settled(heads.select("doc_id", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     near_texts = hold.keep(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    links, labels, led, tested, count = same, None, None, None, 1
+    labels, led, tested, count = ids.withColumn("component", F.col("doc_id")), None, None, 1
     while True:
         now = members if led is None else members.join(led, ["band", "doc_id"], "left_anti")
-        if labels is None:
-            now = now.withColumn("component", F.col("doc_id"))
-        else:
-            now = now.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        now = now.join(labels, "doc_id")
         unfinished = now.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
         now = settled(now.join(unfinished, "band"))
         leaders = now.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))).filter(F.col("place") <= count)
         leaders = settled(leaders.select("band", F.col("doc_id").alias("leader"), F.col("component").alias("lead_component"), F.col("n_shingles").alias("lead_shingles")))
-        if not leaders.limit(1).count():
+        if leaders.isEmpty():
             break
         alike = 100 * F.least("n_shingles", "lead_shingles") >= percent * F.greatest("n_shingles", "lead_shingles")
         pairs = now.join(leaders, "band").filter((F.col("component") != F.col("lead_component")) & alike).select("doc_id", "leader").distinct()
@@ -150,17 +148,16 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int, hold: Scratch)
         lead = sketches.select(F.col("doc_id").alias("leader"), F.col("sketch").alias("lead_sketch"))
         near = settled(pairs.join(sketches, "doc_id").join(lead, "leader").mapInArrow(_agreeing, "doc_id long, leader long"))
         lead = near_texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("lead_text"))
-        linked = settled(near.join(near_texts, "doc_id").join(lead, "leader").mapInArrow(_similar(width, percent), "doc_id long, leader long"))
-        if linked.limit(1).count() or labels is None:
-            links = links.unionByName(linked.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
-            labels = components(links)
+        linked = near.join(near_texts, "doc_id").join(lead, "leader").mapInArrow(_similar(width, percent), "doc_id long, leader long")
+        ends = [labels.select(F.col("doc_id").alias(k), F.col("component").alias(c)) for k, c in (("leader", "a"), ("doc_id", "b"))]
+        merged = components(linked.join(ends[0], "leader").join(ends[1], "doc_id").select("a", "b"))
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+        labels = settled(labels.join(merged, "component", "left").select("doc_id", F.coalesce("into", "component").alias("component")))
         done = leaders.select("band", F.col("leader").alias("doc_id"))
         led = done if led is None else settled(led.unionByName(done))
         tested = near if tested is None else settled(tested.unionByName(near))
-        count *= 2
+        count *= 16
 
-    if labels is None:
-        labels = components(links)
-    out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("head", F.coalesce("first", "doc_id"))
+    out = out.join(labels.withColumnRenamed("doc_id", "head"), "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     return settled(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
