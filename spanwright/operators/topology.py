@@ -9,7 +9,9 @@ from spanwright.functions.geometry import Metric, cell, ruler_scales
 from spanwright.operators.components import components
 from spanwright.plans.materialise import settled, with_rank
 
-PART = Window.partitionBy("feature_idx", "part").orderBy("idx")
+
+def _in_part():
+    return Window.partitionBy("feature_idx", "part").orderBy("idx")
 
 
 def finite(value: Column) -> Column:
@@ -32,7 +34,7 @@ def coordinates(features: DataFrame, group: Column | None = None, end_group: Col
     rows = rows.withColumn("valid", finite(F.col("x")) & finite(F.col("y")))
     rows = rows.withColumn("node_key", (node_id if node_id is not None else F.lit(None)).cast("string"))
     rows = rows.select("feature_idx", "part", "idx", "size", "x", "y", "z", "valid", "_start", "_end", "node_key")
-    rows = rows.withColumn("run", F.coalesce(F.sum((~F.col("valid")).cast("int")).over(PART.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("run", F.coalesce(F.sum((~F.col("valid")).cast("int")).over(_in_part().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if end_group is None:
         return rows.withColumn("grp", F.col("_start")).drop("_start", "_end")
     whole = Window.partitionBy("feature_idx", "part")
@@ -51,7 +53,7 @@ def check_geographic(coords: DataFrame) -> None:
     box = extent(coords).first()
     if box["n"] and (box["min_x"] < -180 or box["max_x"] > 180 or box["min_y"] < -90 or box["max_y"] > 90):
         raise ValueError("coordinates lie outside longitude and latitude")
-    jump = F.abs(F.col("x") - F.lag("x").over(PART)) > 180
+    jump = F.abs(F.col("x") - F.lag("x").over(_in_part())) > 180
     if coords.filter("valid").withColumn("jump", jump).filter("jump").limit(1).count():
         raise ValueError("a line crosses the antimeridian")
 
