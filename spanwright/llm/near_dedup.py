@@ -4,7 +4,7 @@ Every permutation of a document's shingle set gives two signature values, its mi
 hash evaluations a shingle make 512 values. They are banded into 64 keys of 8: a pair at similarity 0.8 shares no
 key with probability (1 - 0.8**8)**64, below 1e-5, one at 0.85 with 2e-9, while pairs below 0.4 rarely share one.
 Documents that share a key are only candidates. Each key's members are compared with its leaders, one at first and
-16 times as many in each later round, first by signature agreement, then exactly on the full shingle sets. A key is
+twice as many in each later round, first by signature agreement, then exactly on the full shingle sets. A key is
 finished when its members that have not yet led all lie in one component: then no pair across components is left
 untested, and groups of true copies are finished after one leader, without expanding them into pairs.
 """
@@ -156,7 +156,7 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int, hold: Scratch)
         done = leaders.select("band", F.col("leader").alias("doc_id"))
         led = done if led is None else settled(led.unionByName(done))
         tested = near if tested is None else settled(tested.unionByName(near))
-        count *= 16
+        count *= 2
 
     out = signed.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("head", F.coalesce("first", "doc_id"))
     out = out.join(labels.withColumnRenamed("doc_id", "head"), "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
