@@ -23,7 +23,7 @@ def table(spark, rows):
 
 def words(n, seed, pool=4000):
     rng = random.Random(seed)
-    return [f"w{rng.randrange(pool)}" for _ in range(n)]
+    return ["w" + "".join("abcdefghij"[int(d)] for d in str(rng.randrange(pool))) for _ in range(n)]
 
 
 @pytest.fixture(scope="module")
