@@ -134,7 +134,9 @@ def _voted(counted: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of docs that ``judged`` would keep, with their columns as they are; counted twice instead of shuffling texts."""
     boxed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    voted = _voted(with_counts(boxed)).filter("not base_failed")
+    # filters are not pushed below a generator, where the optimizer would repeat the counts for each use of a vote
+    counted = with_counts(boxed).select(F.explode(F.array(F.struct("row", *COUNTS))).alias("c")).select("c.*")
+    voted = _voted(counted).filter("not base_failed")
     return voted.filter(_posterior(*estimate(voted)) >= 0.5).select("row.*")
 
 
