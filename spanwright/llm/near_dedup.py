@@ -3,8 +3,10 @@
 Every permutation of a document's shingle set gives two signature values, its minimum and its maximum, so 256
 hash evaluations a shingle make 512 values. They are banded into 64 keys of 8: a pair at similarity 0.8 shares no
 key with probability (1 - 0.8**8)**64, below 1e-5, one at 0.85 with 2e-9, while pairs below 0.4 rarely share one.
-Documents that share a key are only candidates. Each key's members are compared with its leaders, one at first and
-twice as many in each later round, first by signature agreement, then exactly on the full shingle sets. A key is
+Documents that share a key are only candidates. Each key's members are compared with its leaders, first by signature
+agreement, then exactly on the full shingle sets. One member leads at first; later those outside the key's largest
+component lead, 256 of them in the second round and sixteen times as many in each further one, and are compared in
+blocks inside tasks, each pair under the first key that it shares, so that only agreeing pairs become rows. A key is
 finished when its members that have not yet led all lie in one component: then no pair across components is left
 untested, and groups of true copies are finished after one leader, without expanding them into pairs.
 """
@@ -15,15 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import Scratch, hashed_words, mix, pieces, settled, utf8, windows
 from spanwright.operators.components import components
 
-#: Permutations; values to a band; values kept for estimates; their agreement under which a pair is not compared in
-#: full: at similarity 0.8 the agreement of 128 values has a standard deviation of 0.035, five of which lie between.
-PERMUTATIONS, ROWS, SKETCH, AGREE = 256, 8, 128, 0.62
+#: Permutations; values to a band; the agreement of values under which a pair is not compared in full: at similarity
+#: 0.8 the agreement of 512 values has a standard deviation of at most 0.0177, and 4.2 of them lie between: that loses
+#: a pair at 0.8 about as rarely as the bands do.
+PERMUTATIONS, ROWS, AGREE = 256, 8, 0.725
+#: Leaders and members that one task compares at a time; how many times as many lead in each further round.
+LEADERS, MEMBERS, STEP = 256, 4096, 16
 
 _random = np.random.default_rng(77003)
 _FLIP = _random.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
@@ -48,7 +54,7 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Band keys, and some values' low bytes for estimates."""
+    """Band keys, and the values' high bytes for estimates."""
     low, high = np.full(PERMUTATIONS, np.uint32(2**32 - 1)), np.zeros(PERMUTATIONS, np.uint32)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), 1024):
@@ -57,21 +63,48 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
         np.maximum(high, values.max(1), out=high)
     both = mix(np.stack([low, high], 1).ravel().astype(np.uint64) * np.uint64(2) + np.tile(np.arange(2, dtype=np.uint64), PERMUTATIONS))
     keys = mix((both.reshape(-1, ROWS) * _BAND).sum(1, dtype=np.uint64) + np.arange(len(_BAND), dtype=np.uint64))
-    return keys.view(np.int64), (both[:SKETCH] >> np.uint64(56)).astype(np.uint8).tobytes()
+    return keys.view(np.int64), (both >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, codes binary, sketch binary"
 
 
 def _sign(width: int):
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("codes", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
             sets = shingle_sets(batch, width)
             signed = [signature(s) if len(s) else (None, None) for s in sets]
             digest = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([k for k, _ in signed], pa.list_(pa.int64())), pa.array([s for _, s in signed], pa.binary())], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([k for k, _ in signed], pa.list_(pa.int64())), pa.array([k if k is None else (k.view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for k, _ in signed], pa.binary()), pa.array([s for _, s in signed], pa.binary())], schema=kind)
+
+    return run
+
+
+def _blocks(percent: int):
+    """Of leaders and members of one key: the pairs of agreeing signatures whose first shared key this is."""
+    kind = pa.schema([("doc_id", pa.int64()), ("leader", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = []
+        for side in (table.filter(table["leads"]), table.filter(pc.invert(table["leads"]))):
+            whole = {k: side[k].to_numpy() for k in ("doc_id", "n_shingles", "component", "place")}
+            sides.append((whole, *(np.frombuffer(b"".join(side[k].to_pylist()), kind).reshape(side.num_rows, -1) for k, kind in (("codes", np.uint32), ("sketch", np.uint8)))))
+        (led, led_codes, led_sketch), (own, codes, sketch) = sides
+        here = np.uint32(np.int64(table["band"][0].as_py()).view(np.uint64) >> np.uint64(32))
+        pairs = [np.zeros((0, 2), np.int64)]
+        for i in range(len(led_codes)):
+            n = led["n_shingles"][i]
+            alike = 100 * np.minimum(own["n_shingles"], n) >= percent * np.maximum(own["n_shingles"], n)
+            rows = np.flatnonzero(alike & (own["component"] != led["component"][i]) & (own["place"] > led["place"][i]))
+            same = codes[rows] == led_codes[i]
+            rows = rows[led_codes[i][same.argmax(1)] == here] if len(rows) else rows
+            rows = rows[(sketch[rows] == led_sketch[i]).mean(1) >= AGREE] if len(rows) else rows
+            ids = own["doc_id"][rows]
+            pairs.append(np.stack([np.maximum(ids, led["doc_id"][i]), np.minimum(ids, led["doc_id"][i])], 1))
+        out = np.concatenate(pairs)
+        return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=kind)
 
     return run
 
@@ -98,6 +131,26 @@ def _similar(width: int, percent: int):
     return run
 
 
+def _led_once(now: DataFrame, leaders: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Agreeing pairs of each key's single leader with its members."""
+    lead = leaders.select("band", F.col("doc_id").alias("leader"), F.col("component").alias("lead_component"), F.col("n_shingles").alias("lead_shingles"))
+    alike = 100 * F.least("n_shingles", "lead_shingles") >= percent * F.greatest("n_shingles", "lead_shingles")
+    pairs = now.join(lead, "band").filter((F.col("component") != F.col("lead_component")) & alike).select("doc_id", "leader").distinct()
+    own = sketches.select("doc_id", "sketch")
+    return pairs.join(own, "doc_id").join(own.toDF("leader", "lead_sketch"), "leader").mapInArrow(_agreeing, "doc_id long, leader long")
+
+
+def _led_in_blocks(now: DataFrame, leaders: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Agreeing pairs of each key's leaders with its members, LEADERS by MEMBERS at most in a task."""
+    blocks = leaders.groupBy("band").agg(F.max("place").alias("led"))
+    ranked = now.join(blocks, "band").join(leaders.select("band", "doc_id", "place"), ["band", "doc_id"], "left").join(sketches, "doc_id")
+    chunks, last = F.ceil(F.col("total") / MEMBERS), F.floor((F.col("led") - 1) / LEADERS)
+    rows = ["band", "block", "chunk", "doc_id", "n_shingles", "component", F.coalesce("place", F.lit(1 << 62)).cast("long").alias("place"), "codes", "sketch", "leads"]
+    lead = ranked.filter("place is not null").withColumns({"leads": F.lit(True), "block": F.floor((F.col("place") - 1) / LEADERS), "chunk": F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))})
+    own = ranked.withColumns({"leads": F.lit(False), "chunk": F.pmod(F.xxhash64("doc_id"), chunks), "block": F.explode(F.sequence(F.lit(0).cast("long"), last))})
+    return lead.select(*rows).unionByName(own.select(*rows)).groupBy("band", "block", "chunk").applyInArrow(_blocks(percent), "doc_id long, leader long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
 
@@ -128,35 +181,33 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int, hold: Scratch)
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("band")
     members = hold.keep(banded.join(shared, "band"), "members")
     ids = settled(members.select("doc_id").distinct())
-    sketches = settled(heads.select("doc_id", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sketches = hold.keep(heads.select("doc_id", "codes", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sketches")
     near_texts = hold.keep(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     labels, led, tested, count = ids.withColumn("component", F.col("doc_id")), None, None, 1
     while True:
         now = members if led is None else members.join(led, ["band", "doc_id"], "left_anti")
         now = now.join(labels, "doc_id")
-        unfinished = now.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
-        now = settled(now.join(unfinished, "band"))
-        leaders = now.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))).filter(F.col("place") <= count)
-        leaders = settled(leaders.select("band", F.col("doc_id").alias("leader"), F.col("component").alias("lead_component"), F.col("n_shingles").alias("lead_shingles")))
+        parts = now.groupBy("band", "component").agg(F.count("*").alias("held"))
+        keys = parts.groupBy("band").agg(F.max(F.struct("held", "component"))["component"].alias("largest"), F.sum("held").alias("total"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+        now = settled(now.join(keys, "band"))
+        leaders = now.filter("component <> largest").withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))).filter(F.col("place") <= count)
+        leaders = settled(leaders.drop("largest"))
         if leaders.isEmpty():
             break
-        alike = 100 * F.least("n_shingles", "lead_shingles") >= percent * F.greatest("n_shingles", "lead_shingles")
-        pairs = now.join(leaders, "band").filter((F.col("component") != F.col("lead_component")) & alike).select("doc_id", "leader").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["doc_id", "leader"], "left_anti")
-        lead = sketches.select(F.col("doc_id").alias("leader"), F.col("sketch").alias("lead_sketch"))
-        near = settled(pairs.join(sketches, "doc_id").join(lead, "leader").mapInArrow(_agreeing, "doc_id long, leader long"))
+        if tested is None:
+            near = tested = settled(_led_once(now, leaders, sketches, percent))
+        else:
+            near = settled(_led_in_blocks(now, leaders, sketches, percent).distinct().join(tested, ["doc_id", "leader"], "left_anti"))
         lead = near_texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("lead_text"))
         linked = near.join(near_texts, "doc_id").join(lead, "leader").mapInArrow(_similar(width, percent), "doc_id long, leader long")
         ends = [labels.select(F.col("doc_id").alias(k), F.col("component").alias(c)) for k, c in (("leader", "a"), ("doc_id", "b"))]
         merged = components(linked.join(ends[0], "leader").join(ends[1], "doc_id").select("a", "b"))
         merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
         labels = settled(labels.join(merged, "component", "left").select("doc_id", F.coalesce("into", "component").alias("component")))
-        done = leaders.select("band", F.col("leader").alias("doc_id"))
+        done = leaders.select("band", "doc_id")
         led = done if led is None else settled(led.unionByName(done))
-        tested = near if tested is None else settled(tested.unionByName(near))
-        count *= 2
+        count = LEADERS if count == 1 else count * STEP
 
     out = signed.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("head", F.coalesce("first", "doc_id"))
     out = out.join(labels.withColumnRenamed("doc_id", "head"), "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
