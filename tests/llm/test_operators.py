@@ -85,6 +85,29 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
+def test_one_group_of_loosely_linked_copies_in_blocks(spark, monkeypatch):
+    """Copies of one text with up to a third of it edited: many keys stay unfinished after their first leader."""
+    monkeypatch.setattr(near_dedup, "LEADERS", 8)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 32)
+    monkeypatch.setattr(near_dedup, "STEP", 2)
+    rng, base, rows = random.Random(8), words(150, 1, 900), []
+    for i in range(220):
+        w = list(base)
+        for k in range(rng.randrange(1, 16)):
+            w[rng.randrange(len(w))] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in range(i + 1, len(rows)):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    assert 20 < len(set(label.values())) < 200
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, rows), 4, 80).collect()}
+    assert got == label
+
+
 def test_repeats_against_brute_force(spark):
     rng = random.Random(8)
     passages = [words(rng.randrange(40, 90), 100 + k) for k in range(5)]
