@@ -93,43 +93,43 @@ def segment_lengths_cheap_ruler(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIPS = """pts as (
   select l_orderkey as f, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as idx, l_partkey % 50 as x, l_partkey // 50 as y
-  from lineitem where l_orderkey % {mod} = 0),
+  from lineitem),
 legs as (select f, idx, x as ax, y as ay, lead(x) over w as bx, lead(y) over w as b_y from pts window w as (partition by f order by idx)),
 trip as (select f, idx, ax, ay, bx, b_y, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) as length from legs where bx is not null and (ax <> bx or ay <> b_y))"""
 
 
-def trip_features(spark: SparkSession, sf_dir: str, mod: int) -> DataFrame:
-    """One line for each order with a key divisible by mod, through the lattice points of its parts."""
-    item = nw.read(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % mod == 0)
+def trip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line for each order, through the lattice points of its parts."""
+    item = nw.read(spark, sf_dir, "lineitem")
     at = F.struct((F.col("l_partkey") % 50).cast("double").alias("x"), F.floor(F.col("l_partkey") / 50).cast("double").alias("y"), F.lit(None).cast("double").alias("z"))
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", at.alias("at"))
     lines = item.groupBy(F.col("l_orderkey").alias("feature_idx")).agg(F.array_sort(F.collect_list(order)).alias("o"))
     return lines.select("feature_idx", F.concat(F.lit("n:"), F.col("feature_idx").cast("string")).alias("id"), F.lit("LineString").alias("geom_type"), F.array(F.col("o.at")).alias("parts"), F.lit(None).cast("string").alias("props"))
 
 
-def _trip_segments(spark: SparkSession, sf_dir: str, mod: int) -> DataFrame:
-    return tp.segments(tp.exact_vertices(tp.coordinates(trip_features(spark, sf_dir, mod))), Metric())
+def _trip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tp.segments(tp.exact_vertices(tp.coordinates(trip_features(spark, sf_dir))), Metric())
 
 
-@query("with " + TRIPS.format(mod=10) + " select f as feature_idx, idx as seg_idx, round(length, 6) as length, round(sum(length) over (partition by f order by idx), 6) as measure_end from trip")
+@query("with " + TRIPS + " select f as feature_idx, idx as seg_idx, round(length, 6) as length, round(sum(length) over (partition by f order by idx), 6) as measure_end from trip")
 def measures_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tp.with_measures(_trip_segments(spark, sf_dir, 10)).select("feature_idx", F.col("seg_idx").cast("long").alias("seg_idx"), F.round("length", 6).alias("length"), F.round("measure_end", 6).alias("measure_end"))
+    return tp.with_measures(_trip_segments(spark, sf_dir)).select("feature_idx", F.col("seg_idx").cast("long").alias("seg_idx"), F.round("length", 6).alias("length"), F.round("measure_end", 6).alias("measure_end"))
 
 
-@query("with " + TRIPS.format(mod=10) + ", runs as (select f, case when lag(bx) over w is null or lag(bx) over w <> ax or lag(b_y) over w <> ay then 1 else 0 end as fresh from trip window w as (partition by f order by idx)) select f as feature_idx, sum(fresh)::bigint as runs, count(*) as segments from runs group by f")
+@query("with " + TRIPS + ", runs as (select f, case when lag(bx) over w is null or lag(bx) over w <> ax or lag(b_y) over w <> ay then 1 else 0 end as fresh from trip window w as (partition by f order by idx)) select f as feature_idx, sum(fresh)::bigint as runs, count(*) as segments from runs group by f")
 def part_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tp.with_runs(_trip_segments(spark, sf_dir, 10)).groupBy("feature_idx").agg(F.max("part_run").alias("runs"), F.count("*").alias("segments"))
+    return tp.with_runs(_trip_segments(spark, sf_dir)).groupBy("feature_idx").agg(F.max("part_run").alias("runs"), F.count("*").alias("segments"))
 
 
-@query("with " + TRIPS.format(mod=10) + " select x::double as x, y::double as y, count(*) as coordinates, min(f) as first_feature from pts group by x, y")
+@query("with " + TRIPS + " select x::double as x, y::double as y, count(*) as coordinates, min(f) as first_feature from pts group by x, y")
 def vertices_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tp.exact_vertices(tp.coordinates(trip_features(spark, sf_dir, 10)))
+    placed = tp.exact_vertices(tp.coordinates(trip_features(spark, sf_dir)))
     return placed.groupBy("vertex", F.col("vx").alias("x"), F.col("vy").alias("y")).agg(F.count("*").alias("coordinates"), F.min("vertex_ord.feature_idx").alias("first_feature")).drop("vertex")
 
 
-@query("with " + TRIPS.format(mod=10) + " select count(*) as n, min(x)::double as min_x, min(y)::double as min_y, max(x)::double as max_x, max(y)::double as max_y from pts")
+@query("with " + TRIPS + " select count(*) as n, min(x)::double as min_x, min(y)::double as min_y, max(x)::double as max_x, max(y)::double as max_y from pts")
 def extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tp.extent(tp.coordinates(trip_features(spark, sf_dir, 10)))
+    return tp.extent(tp.coordinates(trip_features(spark, sf_dir)))
 
 
 BROKEN = """broken as (select f, idx, case when (f + idx) % 4 = 3 then null else x end as x, y from pts)"""
@@ -138,15 +138,15 @@ BROKEN = """broken as (select f, idx, case when (f + idx) % 4 = 3 then null else
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips of which some positions are invalid."""
     bad = F.transform("parts", lambda part: F.transform(part, lambda p, i: F.struct(F.when((F.col("feature_idx") + i) % 4 == 3, F.lit(float("nan"))).otherwise(p["x"]).alias("x"), p["y"].alias("y"), p["z"].alias("z"))))
-    return trip_features(spark, sf_dir, 10).withColumn("parts", bad)
+    return trip_features(spark, sf_dir).withColumn("parts", bad)
 
 
-@query("with " + TRIPS.format(mod=10) + f", {BROKEN} select f as feature_idx, 0::bigint as part, idx from broken where x is null")
+@query("with " + TRIPS + f", {BROKEN} select f as feature_idx, 0::bigint as part, idx from broken where x is null")
 def invalid_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.invalid_coordinates(tp.coordinates(_broken(spark, sf_dir))).select("feature_idx", *(F.col(c).cast("long").alias(c) for c in ("part", "idx")))
 
 
-@query("with " + TRIPS.format(mod=10) + f""", {BROKEN}, s as (select x, y, lead(x) over w as bx, lead(y) over w as b_y from broken window w as (partition by f order by idx))
+@query("with " + TRIPS + f""", {BROKEN}, s as (select x, y, lead(x) over w as bx, lead(y) over w as b_y from broken window w as (partition by f order by idx))
 select (select count(distinct f) from pts) as features, (select count(distinct f) from pts) as line_features, 0::bigint as skipped_features,
   (select count(*) from broken where x is null) as invalid_coordinates, (select count(*) from s where x is not null and bx is not null and (x <> bx or y <> b_y)) as segments""")
 def build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -559,12 +559,12 @@ def geojson_linestring(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- diagnostics and repair ---------------------------------------------------------------------------------------
 
 
-@query("with " + TRIPS.format(mod=400) + ", ends as (select ax as x, ay as y, f from trip union all select bx, b_y, f from trip) select x::double as x, y::double as y, min(f) as feature_idx from ends group by x, y having count(*) = 1")
+@query("with " + TRIPS + ", ends as (select ax as x, ay as y, f from trip union all select bx, b_y, f from trip) select x::double as x, y::double as y, min(f) as feature_idx from ends group by x, y having count(*) = 1")
 def dangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dg.dangles(_trip_segments(spark, sf_dir, 400)).select("x", "y", "feature_idx")
+    return dg.dangles(_trip_segments(spark, sf_dir)).select("x", "y", "feature_idx")
 
 
-CROSS = TRIPS.format(mod=400) + """,
+CROSS = TRIPS + """,
 n as (select *, row_number() over (order by f, idx) as k from trip),
 hits as (select a.f as fa, b.f as fb, a.idx as ia, b.idx as ib, a.ax, a.ay, a.bx, a.b_y,
   ((b.ax - a.ax) * (b.b_y - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / ((a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax))::double as t,
@@ -575,22 +575,22 @@ hits as (select a.f as fa, b.f as fb, a.idx as ia, b.idx as ib, a.ax, a.ay, a.bx
 
 @query(f"with {CROSS} select fa as feature_a, ia as seg_a, fb as feature_b, ib as seg_b, round(ax + t * (bx - ax), 6) as x, round(ay + t * (b_y - ay), 6) as y from hits where t between 0 and 1 and u between 0 and 1")
 def intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repair.intersections(_trip_segments(spark, sf_dir, 400))
+    found = repair.intersections(_trip_segments(spark, sf_dir))
     return found.select(F.col("feature_idx1").alias("feature_a"), F.col("sid1.seg_idx").cast("long").alias("seg_a"), F.col("feature_idx2").alias("feature_b"), F.col("sid2.seg_idx").cast("long").alias("seg_b"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query()
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs, _ = repair.split_intersections(_trip_segments(spark, sf_dir, 400), Metric())
+    segs, _ = repair.split_intersections(_trip_segments(spark, sf_dir), Metric())
     return segs.groupBy("feature_idx").agg(F.count("*").alias("pieces"), F.round(F.sum("length"), 6).alias("length"))
 
 
-@query("with " + TRIPS.format(mod=100) + """, n as (select *, row_number() over (order by f, idx) as k from trip),
+@query("with " + TRIPS + """, n as (select *, row_number() over (order by f, idx) as k from trip),
 p as (select a.f as fa, a.idx as ia, b.f as fb, b.idx as ib, a.length as n, ((b.ax - a.ax) * (a.bx - a.ax) + (b.ay - a.ay) * (a.b_y - a.ay)) / a.length as s, ((b.bx - a.ax) * (a.bx - a.ax) + (b.b_y - a.ay) * (a.b_y - a.ay)) / a.length as e
   from n a join n b on a.k < b.k where (a.bx - a.ax) * (b.ay - a.ay) = (a.b_y - a.ay) * (b.ax - a.ax) and (a.bx - a.ax) * (b.b_y - a.ay) = (a.b_y - a.ay) * (b.bx - a.ax))
 select fa as feature_a, ia as seg_a, fb as feature_b, ib as seg_b, round(least(n, greatest(s, e)) - greatest(0.0, least(s, e)), 6) as length from p where least(n, greatest(s, e)) - greatest(0.0, least(s, e)) > 1e-9""")
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dg.overlaps(_trip_segments(spark, sf_dir, 100))
+    found = dg.overlaps(_trip_segments(spark, sf_dir))
     return found.select("feature_a", F.col("seg_a").cast("long").alias("seg_a"), "feature_b", F.col("seg_b").cast("long").alias("seg_b"), F.round("length", 6).alias("length"))
 
 
