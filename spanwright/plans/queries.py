@@ -326,14 +326,14 @@ def heuristic_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- snapping -----------------------------------------------------------------------------------------------------
 
 
-def way_points(spark: SparkSession, sf_dir: str, mod: int) -> DataFrame:
-    """point_id, x, y, user_id, ts of the events with an id divisible by mod, at dyadic places inside the grid's width."""
-    e = nw.read(spark, sf_dir, "events").filter(F.col("event_id") % mod == 0)
+def way_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """point_id, x, y, user_id, ts of all events, at dyadic places inside the grid's width."""
+    e = nw.read(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("point_id"), (F.col("user_id") * 7 % 50 + 0.25).cast("double").alias("x"), (F.col("event_id") % 40 + 0.375).cast("double").alias("y"), "user_id", "ts")
 
 
-POINTS = "pt as (select event_id as id, user_id * 7 % 50 + 0.25 as x, event_id % 40 + 0.375 as y from events where event_id % {mod} = 0)"
-PLACES = ALIVE + ", " + POINTS.format(mod=20) + """,
+POINTS = "pt as (select event_id as id, user_id * 7 % 50 + 0.25 as x, event_id % 40 + 0.375 as y from events)"
+PLACES = ALIVE + ", " + POINTS + """,
 foot as (select id, x, y, a * 2 + kind as f, ax, ay, bx, b_y, greatest(0.0, least(1.0, (x - ax) * (bx - ax) + (y - ay) * (b_y - ay))) as t from pt, alive),
 place as (select id, f, round(ax + t * (bx - ax), 9) as px, round(ay + t * (b_y - ay), 9) as py, round(sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (b_y - ay)), 2)), 9) as distance, t,
   case when (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) > 0 then 'left' when (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) < 0 then 'right' else 'on' end as side from foot)"""
@@ -348,27 +348,27 @@ _TOP = "select id as point_id, f as feature_idx, rank, px as x, py as y, distanc
 
 @query(f"with {PLACES} " + _TOP.format(where="", k=1))
 def nearest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir, 20)))
+    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir)))
 
 
 @query(f"with {PLACES} " + _TOP.format(where="", k=4))
 def candidates_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir, 20), Snap(candidates=4)))
+    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=4)))
 
 
 @query(f"with {PLACES} " + _TOP.format(where=" where distance <= 0.4", k=16))
 def candidates_max_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir, 20), Snap(candidates=16, max_distance=0.4)))
+    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=16, max_distance=0.4)))
 
 
 @query(f"with {PLACES} " + _TOP.format(where=" where f in (20, 40, 101, 200, 201, 310)", k=2))
 def candidates_feature_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir, 20), Snap(candidates=2, feature_ids=[20, 40, 101, 200, 201, 310])))
+    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=2, feature_ids=[20, 40, 101, 200, 201, 310])))
 
 
 @query(f"with {PLACES} " + _TOP.format(where=" where f % 2 = 1", k=3))
 def candidates_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir, 20), Snap(candidates=3, allowed=F.col("feature_idx") % 2 == 1)))
+    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=3, allowed=F.col("feature_idx") % 2 == 1)))
 
 
 _VERTEX = """select id as point_id, v as key, round(sqrt(pow(x - v % 50, 2) + pow(y - v // 50, 2)), 9) as distance from pt, {table} where {cond} qualify row_number() over (partition by id order by round(sqrt(pow(x - v % 50, 2) + pow(y - v // 50, 2)), 9), v) = 1"""
@@ -378,14 +378,14 @@ def _nearest_key(graph: Graph, points: DataFrame, snap: Snap) -> DataFrame:
     return candidates(graph, points, snap).select("point_id", _part_key("x", "y").alias("key"), F.round("distance", 9).alias("distance"))
 
 
-@query(f"with {DEGREE}, {POINTS.format(mod=20)} select point_id, distance from ({_VERTEX.format(table='deg', cond='true')})")
+@query(f"with {DEGREE}, {POINTS} select point_id, distance from ({_VERTEX.format(table='deg', cond='true')})")
 def nearest_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest_key(nw.grid(spark, sf_dir), way_points(spark, sf_dir, 20), Snap("vertex")).select("point_id", "distance")
+    return _nearest_key(nw.grid(spark, sf_dir), way_points(spark, sf_dir), Snap("vertex")).select("point_id", "distance")
 
 
-@query(f"with {DEGREE}, {POINTS.format(mod=20)} select point_id, distance from ({_VERTEX.format(table='deg', cond='degree <> 2')})")
+@query(f"with {DEGREE}, {POINTS} select point_id, distance from ({_VERTEX.format(table='deg', cond='degree <> 2')})")
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest_key(nw.grid(spark, sf_dir), way_points(spark, sf_dir, 20), Snap("node")).select("point_id", "distance")
+    return _nearest_key(nw.grid(spark, sf_dir), way_points(spark, sf_dir), Snap("node")).select("point_id", "distance")
 
 
 @query(f"with {DEGREE} select p_partkey as point_id, p_partkey as key, 0.0::double as distance from part where p_partkey in (select v from deg)")
@@ -516,9 +516,9 @@ def landmark_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- routes -------------------------------------------------------------------------------------------------------
 
 
-def _tours(spark: SparkSession, sf_dir: str, mod: int = 20) -> DataFrame:
-    """One tour for each user through the places of their events with an id divisible by mod, in time."""
-    pts = way_points(spark, sf_dir, mod)
+def _tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tour for each user through the places of all their events, in time."""
+    pts = way_points(spark, sf_dir)
     order = Window.partitionBy("user_id").orderBy("ts", "point_id")
     return pts.select(F.col("user_id").alias("route_id"), (F.row_number().over(order) - 1).alias("wp_idx"), "x", "y")
 

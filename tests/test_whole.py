@@ -88,3 +88,57 @@ def test_overlaps_of_all_orders(spark, trips):
     found = {tuple(r)[:4]: r["length"] for r in q.overlaps(spark, trips).collect()}
     assert found.keys() == known.keys() and (11, 1, 12, 0) in known
     assert all(found[k] == pytest.approx(known[k], abs=1e-6) for k in known)
+
+
+PARTS = range(150)
+#: Events with ids that 20 does not divide, five of each of three users.
+EVENTS = [(i, i % 3, 1000 - 7 * i) for i in range(1, 16)]
+
+
+@pytest.fixture(scope="module")
+def stops(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stops"))
+    spark.createDataFrame([(p, 1 + p % 10) for p in PARTS], "p_partkey long, p_size int").write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame(EVENTS, "event_id long, user_id long, ts long").write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def streets():
+    """feature: the ends of each of the grid's segments."""
+    out = {2 * p: ((p % 50, p // 50), (p % 50 + 1, p // 50)) for p in PARTS if p % 50 < 49}
+    return out | {2 * p + 1: ((p % 50, p // 50), (p % 50, p // 50 + 1)) for p in PARTS if p % 5 == 0 and p + 50 in PARTS}
+
+
+def spots():
+    return {i: (user * 7 % 50 + 0.25, i % 40 + 0.375) for i, user, _ in EVENTS}
+
+
+def snapped(k, allowed=lambda f: True, limit=math.inf):
+    """(event, feature, rank, distance) of each event's nearest segments, all of them tried."""
+    out = []
+    for i, (x, y) in spots().items():
+        near = sorted((round(math.dist((x, y), (min(max(x, a[0]), b[0]), min(max(y, a[1]), b[1]))), 9), f) for f, (a, b) in streets().items() if allowed(f))
+        out += [(i, f, n, d) for n, (d, f) in enumerate([m for m in near if m[0] <= limit][:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("name", "known"), [("nearest_edge", (1,)), ("candidates_k", (4,)), ("candidates_max_distance", (16, lambda f: True, 0.4)), ("candidates_feature_ids", (2, lambda f: f in (20, 40, 101, 200, 201, 310))), ("candidates_filter", (3, lambda f: f % 2 == 1))])
+def test_places_of_all_events(spark, stops, name, known):
+    found = q.QUERIES[name](spark, stops).select("point_id", "feature_idx", "rank", "distance").collect()
+    assert sorted(map(tuple, found)) == snapped(*known) and found
+
+
+def test_vertices_of_all_events(spark, stops):
+    ends = [p for two in streets().values() for p in two]
+    for name, of in (("nearest_vertex", set(ends)), ("nearest_node", {p for p in ends if ends.count(p) != 2})):
+        known = {i: round(min(math.dist(at, p) for p in of), 9) for i, at in spots().items()}
+        assert dict(map(tuple, q.QUERIES[name](spark, stops).collect())) == known
+
+
+def test_tours_of_all_events(spark, stops):
+    rows = q.route_legs_totals(spark, stops).collect()
+    assert {(r["route_id"], r["ok"], r["n_legs"]) for r in rows} == {(user, True, 4) for user in range(3)}
+    for name in ("route_skip", "route_straight", "optimal_selection", "geojson_linestring"):
+        assert {r["route_id"] for r in q.QUERIES[name](spark, stops).collect()} == {0, 1, 2}
+    # the events of users 0 and 2 lie beyond the last row and snap to one place each, so that only user 1 moves
+    assert {r["route_id"] for r in q.route_sections(spark, stops).collect()} == {1}
