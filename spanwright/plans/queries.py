@@ -602,9 +602,9 @@ def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.segments(tp.exact_vertices(tp.coordinates(features_from_segments(rows.withColumn("props", F.lit(None).cast("string"))))), Metric())
 
 
-@query(f"with {SEG}, ends as (select ax::double as x, ay + 0.25 as y, a * 2 + 1 as f from seg where kind = 1 union all select bx, b_y - 0.25, a * 2 + 1 from seg where kind = 1) select x, y, f as feature_a, 0.25::double as gap from ends where exists (select 1 from seg s where s.kind = 0 and (s.ax = x or s.bx = x) and (s.ay = y - 0.25 or s.ay = y + 0.25))")
+@query(f"with {SEG}, ends as (select ax::double as x, ay + 0.25 as y, a * 2 + 1 as f from seg where kind = 1 union all select bx, b_y - 0.25, a * 2 + 1 from seg where kind = 1), tips as (select x::double as x, y::double as y, min(f) as f from (select ax as x, ay as y, a * 2 as f from seg where kind = 0 union all select bx, b_y, a * 2 from seg where kind = 0) group by 1, 2 having count(*) = 1) select x, y, f as feature_a, 0.25::double as gap from ends where exists (select 1 from seg s where s.kind = 0 and (s.ax = x or s.bx = x) and (s.ay = y - 0.25 or s.ay = y + 0.25)) union all select x, y, f, 0.25::double from tips where exists (select 1 from seg s where s.kind = 1 and s.ax = x and (s.ay = y or s.b_y = y))")
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dg.near_misses(_gapped(spark, sf_dir), Metric(), 0.3).filter(F.col("feature_a") % 2 == 1).select("x", "y", "feature_a", F.round("gap", 9).alias("gap"))
+    return dg.near_misses(_gapped(spark, sf_dir), Metric(), 0.3).select("x", "y", "feature_a", F.round("gap", 9).alias("gap"))
 
 
 @query()

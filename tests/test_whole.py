@@ -142,3 +142,9 @@ def test_tours_of_all_events(spark, stops):
         assert {r["route_id"] for r in q.QUERIES[name](spark, stops).collect()} == {0, 1, 2}
     # the events of users 0 and 2 lie beyond the last row and snap to one place each, so that only user 1 moves
     assert {r["route_id"] for r in q.route_sections(spark, stops).collect()} == {1}
+
+
+def test_near_misses_of_rows_too(spark, stops):
+    found = {(r["x"], r["y"], r["feature_a"]) for r in q.near_misses(spark, stops).collect()}
+    assert {r for r in found if r[2] % 2 == 0} == {(0.0, 0.0, 0), (0.0, 1.0, 100), (0.0, 2.0, 200)}
+    assert len({r for r in found if r[2] % 2 == 1}) == 2 * sum(f % 2 for f in streets())
