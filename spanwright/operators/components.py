@@ -1,37 +1,77 @@
-"""Connected components of link tables, distributed: hook to the least neighbour, jump pointers, contract, repeat."""
+"""Connected components of link tables: hook to the least neighbour, jump pointers, contract, until one task can finish."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.plans.materialise import settled
 
+#: Links that one task may finish (16 bytes each); more are contracted by joins first.
+TASK_LINKS = 1 << 20
+
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, task_links: int | None = None) -> DataFrame:
     """(node, component) for each node of links(a, b); component is the least node reachable, direction ignored.
 
-    Every round hooks each node to its least neighbour and contracts the trees, which at least halves the nodes of a
-    component, so rounds grow with the logarithm of its size. Nodes without other nodes do not occur.
+    A table of at most ``task_links`` distinct links is labelled in one task. A larger one is contracted: every round
+    hooks each node to its least neighbour and joins the trees into their roots, which at least halves the nodes of
+    a component, until what is left fits. Nodes without other nodes do not occur; an empty table gives an empty result.
     """
-    edges = settled(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    bound = TASK_LINKS if task_links is None else task_links
+    edges = settled(links.filter("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct())
     labels = None
+    while edges.count() > bound:
+        tree = _rooted(edges)
+        labels = tree if labels is None else settled(_relabelled(labels, tree))
+        ends = [tree.select(F.col("node").alias(k), F.col("component").alias(f"{k}_up")) for k in "ab"]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").filter("a_up <> b_up")
+        edges = settled(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+    rest = settled(edges.coalesce(1).mapInArrow(_in_one_task, "node long, component long"))
+    return rest if labels is None else settled(_relabelled(labels, rest))
+
+
+def _relabelled(labels: DataFrame, tree: DataFrame) -> DataFrame:
+    up = tree.select(F.col("node").alias("component"), F.col("component").alias("up"))
+    return labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+
+
+def _rooted(edges: DataFrame) -> DataFrame:
+    """(node, component): each node with the root of its tree, every node hooked to its least neighbour or itself."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tree = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")))
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tree = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")))
-        while True:
-            above = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = settled(tree.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("top") < F.col("up")).alias("moved")))
-            tree = jumped.select("node", "up")
-            if jumped.filter("moved").isEmpty():
-                break
-        if labels is None:
-            labels = tree.select("node", F.col("up").alias("component"))
-        else:
-            labels = settled(labels.join(tree.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        ends = [tree.select(F.col("node").alias(k), F.col("up").alias(f"{k}_up")) for k in "ab"]
-        edges = settled(edges.join(ends[0], "a").join(ends[1], "b").filter("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
-        if edges.isEmpty():
-            return labels
+        one = tree.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        two = tree.select(F.col("node").alias("up2"), F.col("up").alias("up4"))
+        # three hops a round: the parent's parent, and that one's
+        tree = settled(tree.join(one, "up").join(two, "up2").select("node", F.col("up4").alias("up"), (F.col("up4") < F.col("up")).alias("moved")))
+        if tree.filter("moved").isEmpty():
+            return tree.select("node", F.col("up").alias("component"))
+        tree = tree.select("node", "up")
+
+
+def labelled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links a-b, ascending, and the least node that each reaches."""
+    nodes, spots = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = spots[: len(a)], spots[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        ru, rv = root[u], root[v]
+        apart = ru != rv
+        if not apart.any():
+            return nodes, nodes[root]
+        u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while (onward := root[root]).tobytes() != root.tobytes():
+            root = onward
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if held:
+        nodes, least = labelled(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["node", "component"])

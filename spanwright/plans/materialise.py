@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset on a local master, a temporary folder."""
+    """spark.checkpoint.dir; where it is unset on a local master, a temporary folder that goes with the session."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        own = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at
