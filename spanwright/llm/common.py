@@ -1,9 +1,8 @@
-"""Shared plumbing: checkpoints in the cluster's shared folder, Arrow batching and vectorised word hashing."""
+"""Shared plumbing: tables in the cluster's shared folder, Arrow batching and vectorised word hashing."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from spanwright.plans.materialise import settled, shared_folder
+
+__all__ = ["Scratch", "hashed_words", "mix", "pieces", "release", "settled", "shared_folder", "sliding_min", "utf8", "windows"]
+
 #: ASCII white space of the word contract, [\x20\x09-\x0D].
 WORD_BREAKS = "\t\n\x0b\x0c\r "
 #: Java pattern of one word.
@@ -19,24 +22,6 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 STEP_BYTES = 2 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared folder; Spark deletes the files when nothing refers to them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Parquet tables in the shared folder, read with column pruning and deleted by close()."""
 

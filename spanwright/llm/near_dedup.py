@@ -3,12 +3,14 @@
 Every permutation of a document's shingle set gives two signature values, its minimum and its maximum, so 256
 hash evaluations a shingle make 512 values. They are banded into 64 keys of 8: a pair at similarity 0.8 shares no
 key with probability (1 - 0.8**8)**64, below 1e-5, one at 0.85 with 2e-9, while pairs below 0.4 rarely share one.
-Documents that share a key are only candidates. Each key's members are compared with its leaders, first by signature
-agreement, then exactly on the full shingle sets. One member leads at first; later those outside the key's largest
-component lead, 256 of them in the second round and sixteen times as many in each further one, and are compared in
-blocks inside tasks, each pair under the first key that it shares, so that only agreeing pairs become rows. A key is
-finished when its members that have not yet led all lie in one component: then no pair across components is left
-untested, and groups of true copies are finished after one leader, without expanding them into pairs.
+Documents that share a key are candidates, and full shingle sets decide; there is no estimate in between.
+
+First each key's members are compared with one of them, the one that shares most keys with others, which in a group
+of copies is the least edited. A key is finished if its other members then lie in one component; groups of true
+copies are, without expanding them into pairs. The members of all other keys meet in an exact join: their shingles
+are put in one order, rare ones first; two sets of similarity 0.8 must share one of the first fifth of both, at places
+that leave room for the overlap that the similarity asks for. So a loosely linked group of copies, edited too much to be
+linked, gives few pairs, since its members' own edits fill the start of their order.
 """
 
 from __future__ import annotations
@@ -17,18 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import Scratch, hashed_words, mix, pieces, settled, utf8, windows
 from spanwright.operators.components import components
 
-#: Permutations; values to a band; the agreement of values under which a pair is not compared in full: by the binomial
-#: tail of 512 values that loses a pair at similarity 0.8 with 4.5e-7, far more rarely than the bands do with 7.9e-6.
-PERMUTATIONS, ROWS, AGREE = 256, 8, 0.71
-#: Leaders and members that one task compares at a time; how many times as many lead in each further round.
-LEADERS, MEMBERS, STEP = 256, 4096, 16
+#: Permutations; signature values to a band.
+PERMUTATIONS, ROWS = 256, 8
 
 _random = np.random.default_rng(77003)
 _FLIP = _random.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
@@ -52,8 +50,8 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Band keys, and the values' high bytes for estimates."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The band keys of a set that is not empty."""
     low, high = np.full(PERMUTATIONS, np.uint32(2**32 - 1)), np.zeros(PERMUTATIONS, np.uint32)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), 1024):
@@ -61,93 +59,67 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
         np.minimum(low, values.min(1), out=low)
         np.maximum(high, values.max(1), out=high)
     both = mix(np.stack([low, high], 1).ravel().astype(np.uint64) * np.uint64(2) + np.tile(np.arange(2, dtype=np.uint64), PERMUTATIONS))
-    keys = mix((both.reshape(-1, ROWS) * _BAND).sum(1, dtype=np.uint64) + np.arange(len(_BAND), dtype=np.uint64))
-    return keys.view(np.int64), (both >> np.uint64(56)).astype(np.uint8).tobytes()
+    return mix((both.reshape(-1, ROWS) * _BAND).sum(1, dtype=np.uint64) + np.arange(len(_BAND), dtype=np.uint64)).view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, codes binary, sketch binary"
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit digests of each set."""
+    return np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+
+
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _sign(width: int):
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("codes", pa.binary()), ("sketch", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
             sets = shingle_sets(batch, width)
-            signed = [signature(s) if len(s) else (None, None) for s in sets]
-            digest = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([k for k, _ in signed], pa.list_(pa.int64())), pa.array([k if k is None else (k.view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for k, _ in signed], pa.binary()), pa.array([s for _, s in signed], pa.binary())], schema=kind)
+            digest = _digests(sets)
+            bands = pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands], schema=kind)
 
     return run
 
 
-def _blocks(percent: int):
-    """Of leaders and members of one key: the pairs of agreeing signatures whose first shared key this is."""
-    kind = pa.schema([("doc_id", pa.int64()), ("leader", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        sides = []
-        for side in (table.filter(table["leads"]), table.filter(pc.invert(table["leads"]))):
-            whole = {k: side[k].to_numpy() for k in ("doc_id", "n_shingles", "component", "place")}
-            sides.append((whole, *(np.frombuffer(b"".join(side[k].to_pylist()), kind).reshape(side.num_rows, -1) for k, kind in (("codes", np.uint32), ("sketch", np.uint8)))))
-        (led, led_codes, led_sketch), (own, codes, sketch) = sides
-        here = np.uint32(np.int64(table["band"][0].as_py()).view(np.uint64) >> np.uint64(32))
-        pairs = [np.zeros((0, 2), np.int64)]
-        for i in range(len(led_codes)):
-            n = led["n_shingles"][i]
-            alike = 100 * np.minimum(own["n_shingles"], n) >= percent * np.maximum(own["n_shingles"], n)
-            rows = np.flatnonzero(alike & (own["component"] != led["component"][i]) & (own["place"] > led["place"][i]))
-            same = codes[rows] == led_codes[i]
-            rows = rows[led_codes[i][same.argmax(1)] == here] if len(rows) else rows
-            rows = rows[(sketch[rows] == led_sketch[i]).mean(1) >= AGREE] if len(rows) else rows
-            ids = own["doc_id"][rows]
-            pairs.append(np.stack([np.maximum(ids, led["doc_id"][i]), np.minimum(ids, led["doc_id"][i])], 1))
-        out = np.concatenate(pairs)
-        return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=kind)
-
-    return run
-
+_SETS = "doc_id long, set_a long, n_shingles long, shingles array<long>"
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in ("sketch", "lead_sketch"))
-        near = (one == two).mean(1) >= AGREE if batch.num_rows else np.zeros(0, bool)
-        yield batch.select(["doc_id", "leader"]).filter(pa.array(near))
 
+def _sets(width: int):
+    """Each text's set of hashes."""
+    kind = pa.schema([("doc_id", pa.int64()), ("set_a", pa.int64()), ("n_shingles", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
-def _similar(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        led, lead = None, None
         for batch in (p for b in batches for p in pieces(b)):
-            near, leaders = [], batch.column("leader").to_pylist()
-            for i, own in enumerate(shingle_sets(batch, width)):
-                if leaders[i] != led:
-                    led, lead = leaders[i], shingle_sets(pa.RecordBatch.from_arrays([batch.column("lead_text").slice(i, 1)], ["text"]), width)[0]
-                common = len(np.intersect1d(own, lead, assume_unique=True))
-                near.append(100 * common >= percent * (len(own) + len(lead) - common))
-            yield batch.select(["doc_id", "leader"]).filter(pa.array(near, pa.bool_()))
+            sets = shingle_sets(batch, width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_digests(sets)[:, 0]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=kind)
 
     return run
 
 
-def _led_once(now: DataFrame, leaders: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Agreeing pairs of each key's single leader with its members."""
-    lead = leaders.select("band", F.col("doc_id").alias("leader"), F.col("component").alias("lead_component"), F.col("n_shingles").alias("lead_shingles"))
-    alike = 100 * F.least("n_shingles", "lead_shingles") >= percent * F.greatest("n_shingles", "lead_shingles")
-    pairs = now.join(lead, "band").filter((F.col("component") != F.col("lead_component")) & alike).select("doc_id", "leader").distinct()
-    own = sketches.select("doc_id", "sketch")
-    return pairs.join(own, "doc_id").join(own.toDF("leader", "lead_sketch"), "leader").mapInArrow(_agreeing, "doc_id long, leader long")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(doc_id, leader) of which the sets are similar enough."""
+    own = sets.select("doc_id", "shingles")
+    both = pairs.join(own, "doc_id").join(own.toDF("leader", "led"), "leader").withColumn("common", F.size(F.array_intersect("shingles", "led")))
+    return both.filter(100 * F.col("common") >= percent * (F.size("shingles") + F.size("led") - F.col("common"))).select("doc_id", "leader")
 
 
-def _led_in_blocks(now: DataFrame, leaders: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Agreeing pairs of each key's leaders with its members, LEADERS by MEMBERS at most in a task."""
-    blocks = leaders.groupBy("band").agg(F.max("place").alias("led"))
-    ranked = now.join(blocks, "band").join(leaders.select("band", "doc_id", "place"), ["band", "doc_id"], "left").join(sketches, "doc_id")
-    chunks, last = F.ceil(F.col("total") / MEMBERS), F.floor((F.col("led") - 1) / LEADERS)
-    rows = ["band", "block", "chunk", "doc_id", "n_shingles", "component", F.coalesce("place", F.lit(1 << 62)).cast("long").alias("place"), "codes", "sketch", "leads"]
-    lead = ranked.filter("place is not null").withColumns({"leads": F.lit(True), "block": F.floor((F.col("place") - 1) / LEADERS), "chunk": F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))})
-    own = ranked.withColumns({"leads": F.lit(False), "chunk": F.pmod(F.xxhash64("doc_id"), chunks), "block": F.explode(F.sequence(F.lit(0).cast("long"), last))})
-    return lead.select(*rows).unionByName(own.select(*rows)).groupBy("band", "block", "chunk").applyInArrow(_blocks(percent), "doc_id long, leader long")
+def _candidates(open_docs: DataFrame, sets: DataFrame, percent: int, hold: Scratch) -> DataFrame:
+    """Pairs(doc_id, leader) of different components among open_docs(doc_id, component) that can be similar enough; misses none."""
+    key = ["doc_id", "set_a"]
+    hashes = sets.join(open_docs, "doc_id").select(*key, "n_shingles", "component", F.explode("shingles").alias("hash"))
+    # a hash of one document alone comes first in the order and needs no row
+    common = hold.keep(hashes.groupBy("hash").agg(F.count("*").alias("held"), (F.min("component") < F.max("component")).alias("apart")).filter("held > 1"), "common")
+    listed = hashes.join(common, "hash").groupBy(*key, "n_shingles", "component").agg(F.array_sort(F.collect_list(F.struct("held", "hash", "apart"))).alias("known"))
+    fit = F.expr(f"n_shingles - (n_shingles * {percent} + 99) div 100 + 1")  # similar sets share one of so many
+    listed = listed.withColumn("alone", F.col("n_shingles") - F.size("known"))
+    prefixed = listed.select(*key, "n_shingles", "component", "alone", F.posexplode(F.slice("known", F.lit(1), F.greatest(F.lit(0), fit - F.col("alone")).cast("int"))).alias("at", "k"))
+    prefix = hold.keep(prefixed.filter("k.apart").select("doc_id", "n_shingles", "component", (F.col("n_shingles") - F.col("alone") - F.col("at")).alias("rest"), F.col("k.hash").alias("hash")), "prefix")
+    one, two = (prefix.select("hash", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n_shingles", "component", "rest"))) for k in "ab")
+    met = one.join(two, "hash").filter("doc_id_a > doc_id_b and component_a <> component_b")
+    met = met.filter((100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b")))
+    return met.select(F.col("doc_id_a").alias("doc_id"), F.col("doc_id_b").alias("leader")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -157,9 +129,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shingles. Documents whose sets have a Jaccard similarity of at least ``percent`` hundredths are linked, and
     component_id is the least doc_id reachable, kept whether that is the document itself. A document without
     words, or without text, has an empty set and stands alone. One of fewer words has its whole sequence as the
-    only shingle. doc_id is the key: repeated rows are one document and give repeated results. Rows without
-    doc_id get no component and are kept. Other columns are ignored; an empty table gives an empty result.
+    only shingle. doc_id is the key: rows of one doc_id are one document, linked by any of their texts; each row
+    tells its own n_shingles. Rows without doc_id get no component and are kept. Other columns are ignored; an empty
+    table gives an empty result.
     """
+    if not 0 < percent <= 100:
+        raise ValueError("percent is between 1 and 100")
     spark = docs.sparkSession
     hold = Scratch(spark)
     try:
@@ -169,45 +144,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _near_duplicates(texts: DataFrame, width: int, percent: int, hold: Scratch) -> DataFrame:
+    equal = ["set_a", "set_b"]
     signed = hold.keep(texts.mapInArrow(_sign(width), _SIGNED), "signed")
     known = signed.filter("n_shingles > 0 and doc_id is not null")
-    first = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
-    copies = known.select("doc_id", "set_a", "set_b").join(first, ["set_a", "set_b"]).filter("doc_id <> first")
-    copies = settled(copies.groupBy("doc_id").agg(F.min("first").alias("first")))
+    # tables of keys are written before they are joined with the rows, so that Spark can deal out a key with many rows
+    groups = hold.keep(known.groupBy(*equal).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"), "groups")
+    copies = hold.keep(known.select("doc_id", *equal).join(groups, equal).filter("doc_id <> first").distinct(), "copies")
+    heads = known.join(copies, ["doc_id", *equal], "left_anti")
 
-    heads = known.join(copies, "doc_id", "left_anti")
     banded = heads.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("band")
-    members = hold.keep(banded.join(shared, "band"), "members")
-    ids = settled(members.select("doc_id").distinct())
-    sketches = hold.keep(heads.select("doc_id", "codes", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sketches")
-    near_texts = hold.keep(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    labels, led, tested, count = ids.withColumn("component", F.col("doc_id")), None, None, 1
-    while True:
-        now = members if led is None else members.join(led, ["band", "doc_id"], "left_anti")
-        now = now.join(labels, "doc_id")
-        parts = now.groupBy("band", "component").agg(F.count("*").alias("held"))
-        keys = parts.groupBy("band").agg(F.max(F.struct("held", "component"))["component"].alias("largest"), F.sum("held").alias("total"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-        now = settled(now.join(keys, "band"))
-        leaders = now.filter("component <> largest").withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))).filter(F.col("place") <= count)
-        leaders = settled(leaders.drop("largest"))
-        if leaders.isEmpty():
-            break
-        if tested is None:
-            near = tested = settled(_led_once(now, leaders, sketches, percent))
-        else:
-            near = settled(_led_in_blocks(now, leaders, sketches, percent).distinct().join(tested, ["doc_id", "leader"], "left_anti"))
-        lead = near_texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("lead_text"))
-        linked = near.join(near_texts, "doc_id").join(lead, "leader").mapInArrow(_similar(width, percent), "doc_id long, leader long")
-        ends = [labels.select(F.col("doc_id").alias(k), F.col("component").alias(c)) for k, c in (("leader", "a"), ("doc_id", "b"))]
-        merged = components(linked.join(ends[0], "leader").join(ends[1], "doc_id").select("a", "b"))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
-        labels = settled(labels.join(merged, "component", "left").select("doc_id", F.coalesce("into", "component").alias("component")))
-        done = leaders.select("band", "doc_id")
-        led = done if led is None else settled(led.unionByName(done))
-        count = LEADERS if count == 1 else count * STEP
-
-    out = signed.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("head", F.coalesce("first", "doc_id"))
-    out = out.join(labels.withColumnRenamed("doc_id", "head"), "head", "left").select("doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
+    keys = hold.keep(banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("held")).filter("least < most").select("band", "held"), "keys")
+    members = hold.keep(banded.join(keys, "band"), "members")
+    spread = hold.keep(members.groupBy("doc_id").agg(F.sum("held").alias("spread"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")), "spread")
+    sets = hold.keep(texts.join(spread.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), _SETS).filter("n_shingles > 0").dropDuplicates(["doc_id", "set_a"]), "sets")
+
+    widest = F.max(F.struct("spread", (-F.col("doc_id")).alias("down"), "low", "high"))
+    leaders = members.join(spread, "doc_id").groupBy("band").agg(widest.alias("m")).select("band", (-F.col("m.down")).alias("leader"), "m.low", "m.high")
+    led = hold.keep(members.join(hold.keep(leaders, "leaders"), "band").filter("doc_id <> leader").drop("held"), "led")
+    alike = f"{percent} * n_shingles <= 100 * high and {percent} * low <= 100 * n_shingles"
+    near = _linked(led.filter(alike).select("doc_id", "leader").distinct(), sets, percent)
+    links = hold.keep(near.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).unionByName(_variants(known, copies, equal)), "links")
+    labels = components(links).withColumnRenamed("node", "doc_id")
+
+    now = led.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    unfinished = hold.keep(now.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band"), "unfinished")
+    open_docs = now.join(unfinished, "band", "left_semi").select("doc_id", "component").distinct()
+    more = _linked(_candidates(open_docs, sets, percent, hold), sets, percent)
+    labels = components(links.unionByName(more.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))).withColumnRenamed("node", "doc_id")
+
+    firsts = groups.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").select(*equal, F.coalesce("component", "first").alias("of_copies"))
+    out = signed.select("doc_id", "n_shingles", *equal).join(firsts, equal, "left").join(labels, "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("of_copies")), "component", "doc_id")).alias("component_id"))
     return settled(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def _variants(known: DataFrame, copies: DataFrame, equal: list[str]) -> DataFrame:
+    """Links(a, b) of each document that has rows with different sets with the first documents of those sets."""
+    several = known.groupBy("doc_id").agg(F.min(F.struct(*equal)).alias("one"), F.max(F.struct(*equal)).alias("other")).filter("one <> other").select("doc_id")
+    return copies.join(several, "doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))

@@ -85,11 +85,8 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
-def test_one_group_of_loosely_linked_copies_in_blocks(spark, monkeypatch):
-    """Copies of one text with up to a third of it edited: many keys stay unfinished after their first leader."""
-    monkeypatch.setattr(near_dedup, "LEADERS", 8)
-    monkeypatch.setattr(near_dedup, "MEMBERS", 32)
-    monkeypatch.setattr(near_dedup, "STEP", 2)
+def test_one_group_of_loosely_linked_copies(spark):
+    """Copies of one text with up to a third of it edited: many keys stay unfinished after their leader."""
     rng, base, rows = random.Random(8), words(150, 1, 900), []
     for i in range(220):
         w = list(base)
