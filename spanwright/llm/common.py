@@ -34,11 +34,19 @@ class Scratch:
         release(self.spark)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
     def close(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.root)
         release(self.spark)
 
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
