@@ -7,6 +7,7 @@ lengths then answer how many documents and tokens lie beyond any limit and how m
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ from spanwright.llm.common import pieces, settled
 RANKS, RANKS_BOUND = "/opt/tokenizers/byte_bpe_50k.tiktoken", 16 << 20
 #: The pre-tokenizer's pattern that belongs to these ranks (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern knows it (fixed values), in runs on which its lookahead would exhaust the matcher.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 512
 #: Lengths of one bucket of the two-level suffix sum.
 BUCKET = 4096
 
@@ -44,11 +48,26 @@ def read_ranks(path: str = RANKS) -> bytes:
     return ranks
 
 
+def encoded(tokens, text: str, long_run: int = LONG_RUN) -> list[int]:
+    """The token ids of a text, which is cut where a long run of white space makes pre-tokens that are known beforehand.
+
+    The pattern takes such a run but for its last character as one pre-token, at the text's end all of it, and goes on
+    from there as at a beginning, so that the pieces' tokens are the text's.
+    """
+    out, at = [], 0
+    for run in re.finditer(f"[{SPACES}]{{{long_run},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += tokens.encode_ordinary(text[at : run.start()])
+        out += tokens._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + tokens.encode_ordinary(text[at:]) if at else tokens.encode_ordinary(text)
+
+
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value).encode_ordinary
+        tokens = encoder(shared.value)
         for batch in (p for b in batches for p in pieces(b)):
-            counts = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            counts = [len(encoded(tokens, t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     return run
