@@ -1,6 +1,6 @@
 """Packing of documents into training sequences by conflict-constrained best fit.
 
-Documents are dealt by a hash of doc_id into groups of bounded size, each packed on its own in decreasing length.
+Documents are dealt by a hash of doc_id, length and cluster into groups of about GROUP, each packed on its own in decreasing length.
 A group's open bins are ordered by residual space and carry two bitmaps, of the sources and of the duplicate
 clusters that they hold. The search starts at the tightest bin that has room and goes on to its successors until
 one holds neither the document's source nor its cluster; else a bin is opened.
@@ -90,5 +90,5 @@ def packed(docs: DataFrame, n_tokens: Column | None = None, cluster: Column | No
         cluster = F.when(text.isNotNull(), F.xxhash64(text))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens.cast("long").alias("n_tokens"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
     groups = max(1, -(-docs.select("doc_id").count() // group))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "n_tokens", "cluster"), F.lit(groups)))
     return rows.groupBy("group").applyInArrow(_pack(capacity), _OUT)
