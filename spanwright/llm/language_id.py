@@ -107,10 +107,12 @@ def sampled(docs: DataFrame, train: F.Column | str = "true") -> tuple[list[bytes
 
     docs(text, lang) are filtered by ``train`` and lang, which may not be null. The bound does not grow with docs:
     a hash of the text picks rows with a chance that the language's count sets, so that no more than a few more
-    than SAMPLE are expected, and the least hashes stay.
+    than SAMPLE are expected, and the least hashes stay. More than LANGUAGES values of lang raise ValueError.
     """
     known = docs.filter(train).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang")
     if not counts:
         return [], []
     lot = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000_007)) / 1_000_000_007.0

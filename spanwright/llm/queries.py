@@ -16,7 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFra
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """A null doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,134 @@ def test_quality_counts_and_verdicts(spark):
     got = {r["doc_id"]: r for r in quality_rules.judged(table(spark, [*clean, *shout, (200, "a b c a b c x\nz\nz")])).collect()}
     assert all(got[i]["kept"] for i, _ in clean) and not any(got[i]["kept"] for i, _ in shout)
     assert (got[200]["n_words"], got[200]["n_repeat_words"], got[200]["n_dup_lines"], got[200]["base_failed"]) == (9, 6, 1, True)
+
+
+def test_archives_of_awkward_pages(spark, tmp_path):
+    """Repeated rows, clashing columns, a long payload, an empty table, and malformed records, which are set aside."""
+    long = "é" * 700_000
+    rows = [(4, "http://a", "same", "x"), (4, "http://a", "same", "y"), (2, "http://b", "same", "z"), (7, "", long, None), (9, "http://c", None, "p")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(2))
+    warc.write_arc(df, f"{tmp_path}/arc", 1)
+    warc.write_warc(warc.read_arc(spark, f"{tmp_path}/arc"), f"{tmp_path}/warc")
+    got = warc.read_warc(spark, f"{tmp_path}/warc").collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["refers_to"]) == [(4, "revisit", 2, 4)] * 2
+    assert len({r["record_id"] for r in got}) == 5 and all(r["intact"] for r in got) and {r["payload_bytes"] for r in got} == {4, 0, 1_400_000}
+    warc.write_arc(df.limit(0), f"{tmp_path}/none", 2)
+    warc.write_warc(warc.read_arc(spark, f"{tmp_path}/none"), f"{tmp_path}/none_warc")
+    assert warc.read_warc(spark, f"{tmp_path}/none_warc").count() == 0
+
+    block = f"1 0 x\n{warc.FIELDS[1]}\n"
+    good = "http://g 0.0.0.0 202401 text/plain 5\nhello\n"
+    data = f"filedesc://x 0.0.0.0 20240102030405 text/plain {len(block)}\n{block}\nhttp://bad 0 0\nnoise\n{good}http://cut 0.0.0.0 20240102030405 text/plain 99999\nrest\n{good}"
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/part-0.arc").write_bytes(data.encode())
+    found = warc.read_arc(spark, f"{tmp_path}/bad")
+    assert [bytes(r["payload"]) for r in found.collect()] == [b"hello"] * 2 and warc.arc_faults(spark, f"{tmp_path}/bad").count() == 2
+    warc.write_warc(found, f"{tmp_path}/bad_warc")
+    assert {r["date"] for r in warc.read_warc(spark, f"{tmp_path}/bad_warc").collect()} == {"2024-01-01T00:00:00Z"}
+
+
+def test_packing_against_brute_force():
+    """Items in order go to the tightest open bin with room and neither their source nor their cluster, else to a new one."""
+    rng = random.Random(9)
+    for _ in range(40):
+        n = rng.randrange(1, 60)
+        lengths = sorted((rng.randrange(1, 50) for _ in range(n)), reverse=True)
+        sources, clusters = [rng.choice([-1, 0, 0, 1, 2]) for _ in range(n)], [rng.choice([-1, rng.randrange(9)]) for _ in range(n)]
+        bins, known = [], []
+        for size, s, c in zip(lengths, sources, clusters, strict=True):
+            fits = [(50 - sum(x[0] for x in b), k) for k, b in enumerate(bins) if sum(x[0] for x in b) + size <= 50 and all((x[1] != s or s < 0) and (x[2] != c or c < 0) for x in b)]
+            k = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append([])
+            known.append((k, sum(x[0] for x in bins[k])))
+            bins[k].append((size, s, c))
+        assert packing.best_fit(lengths, sources, clusters, 50) == known
+
+
+def test_packing_of_rows_without_ids_is_spread(spark):
+    docs = table(spark, [(None, f"text {i}", "en", f"s{i % 7}") for i in range(400)])
+    out = packing.packed(docs, capacity=100, group=50).collect()
+    assert len(out) == 400 and len({r["bin_id"] >> 24 for r in out}) > 4
+
+
+def test_long_white_space_is_counted_exactly(spark):
+    tokens = token_counts.encoder(token_counts.read_ranks())
+    rng = random.Random(1)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "b1", " ", "  ", "\n", "　", "\x85", "\x1c", "é", "'s", "!"]) for _ in range(rng.randrange(40)))
+        assert token_counts.encoded(tokens, t, 2) == tokens.encode_ordinary(t)
+    docs = table(spark, [(1, " " * 1_000_000), (2, "x" + "\n" * 700_000 + "y")])
+    assert {r["doc_id"]: r["n_tokens"] > 1000 for r in token_counts.with_token_counts(docs).collect()} == {1: True, 2: True}
+
+
+def test_shards_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(200), "é" * rng.randrange(60)) for _ in range(300)] + [(None, "x"), (None, None), (5, None)]
+    sized = sorted(((i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in rows))
+    total, at, known, slots = sum(r[3] for r in sized), 0, Counter(), Counter()
+    for some, i, crc, size in sized:
+        shard = at * 8 // total
+        known[i if some else None, size, crc, shard, slots[shard]] += 1
+        slots[shard] += 1
+        at += size
+    got = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.sharded(table(spark, rows)).collect())
+    assert got == known
+
+
+def test_fingerprint_values_against_plain_python(spark):
+    """Each value recomputed: occurrence-numbered 8-mers, the two least under a hash, their hashes mixed in text order."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+        return x ^ (x >> 31)
+
+    def mark(text):
+        if len(text) < 9:
+            return None
+        seen, marks = Counter(), []
+        for k in range(len(text) - 7):
+            gram = text[k : k + 8]
+            value = 0
+            for ch in gram:  # the doubling of blocks is a polynomial in the base
+                value = (value * 0x9E3779B97F4A7C15 + ord(ch) + 1) & m
+            n, value = seen[gram], mix(value)
+            seen[gram] += 1
+            marks.append(mix((value + n * 0xD6E8FEB86659FD93) & m))
+        out = []
+        for f, o in zip(fingerprints._FLIP.ravel().tolist(), fingerprints._ODD.ravel().tolist(), strict=True):
+            least = sorted(range(len(marks)), key=lambda k: ((((marks[k] >> 32) ^ f) * o) & 0xFFFFFFFF, k))[: fingerprints.TUPLE]
+            value = len(least)
+            for k in sorted(least):
+                value = mix((value * 0x94D049BB133111EB + marks[k]) & m)
+            out.append(max(value >> 32, 1))
+        return out
+
+    texts = [" ".join(words(n, n)) for n in (12, 40, 90)] + ["abcdefgh" * 5]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprinted(table(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        own, other, onward = mark(t), mark(edited), mark(after)
+        assert got[i]["fingerprint"] == np.array(own, "<u4").tobytes().hex() and got[i]["edited_fingerprint"] == np.array(other, "<u4").tobytes().hex()
+        assert got[i]["near_edited"] == sum(a == b for a, b in zip(own, other, strict=True)) / 32 and got[i]["near_next"] == sum(a == b for a, b in zip(own, onward, strict=True)) / 32
+
+
+def test_a_rule_that_contradicts_the_others_loses_its_say(spark):
+    """Bad votes of one rule alone, on documents that all others find good, are kept; those that several find bad go."""
+    rng = random.Random(7)
+
+    def prose(seed):
+        return [" ".join(words(12, 50 * seed + k)).capitalize() + "." for k in range(10)]
+
+    clean = [(i, "\n".join(prose(i))) for i in range(150)]
+    lines = [(1000 + i, "\n".join([p for p in prose(300 + i)] + ["- - -"] * 9)) for i in range(12)]
+    junk = [(2000 + i, " ".join(f"{w} | {rng.choice('#$%')}{rng.randrange(9999999)}" for w in words(80, 900 + i))) for i in range(15)]
+    docs = table(spark, [*clean, *lines, *junk])
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    assert all(got[i]["kept"] for i, _ in clean) and not any(got[i]["kept"] for i, _ in junk)
+    assert all(100 * got[i]["n_dup_lines"] > 30 * got[i]["n_lines"] and got[i]["kept"] for i, _ in lines)
+    assert {r["doc_id"] for r in quality_rules.passing(docs).collect()} == {i for i, r in got.items() if r["kept"]}
+    assert quality_rules.passing(docs.limit(0)).count() == 0
