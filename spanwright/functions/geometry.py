@@ -68,6 +68,12 @@ class Metric:
         sx, sy = ruler_scales(self.latitude) if self.geographic else (1.0, 1.0)
         return math.hypot((bx - ax) * sx, (by - ay) * sy)
 
+    def straight(self, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        """The distance of two positions in the embedding of ``embed_py``: a chord through the globe, or the plane's."""
+        if self.name == "haversine":
+            return 2 * EARTH_RADIUS * F.sin(haversine(ax, ay, bx, by) / (2 * EARTH_RADIUS))
+        return self.distance(ax, ay, bx, by)
+
     def scales(self, y: Column) -> tuple[Column, Column]:
         """Units of distance for a step in x and in y near latitude y."""
         if self.name == "haversine":

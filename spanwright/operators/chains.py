@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,12 @@ from spanwright.operators.components import components
 from spanwright.plans.materialise import settled, with_rank
 
 
+#: Segments that one task may walk (24 bytes each); longer tables are contracted by joins.
+TASK_SEGMENTS = 1 << 20
+#: Segments of a chain that are summed in one group.
+RUN = 4096
+
+
 def weighted(segs: DataFrame, weight: Column | None = None, free_zero: bool = False) -> DataFrame:
     """Adds seg_id (rank by feature, part and index), forward, backward and alive.
 
@@ -35,19 +45,22 @@ def degree_histogram(segs: DataFrame) -> DataFrame:
     return degrees(segs).groupBy("degree").agg(F.count("*").alias("vertices"))
 
 
-def chains(segs: DataFrame, compact: bool = True) -> DataFrame:
+def chains(segs: DataFrame, compact: bool = True, task_segments: int | None = None) -> DataFrame:
     """seg_id, chain_id, pos, reversed, from_node, to_node of each alive segment.
 
     Segments that meet at a vertex of degree two belong to one chain; other vertices are nodes, and so is every
     vertex without ``compact``. chain_id is the chain's least seg_id. A chain runs from the end with the lesser
     (vertex, seg_id); reversed tells that a segment is digitised against it. A closed chain without a node gets one
-    at the start of its least segment. Every step joins the table with itself and doubles the reach, so a chain of n
-    segments takes about log2(n) steps and no chain is gathered into a task.
+    at the start of its least segment. At most ``task_segments`` segments are walked in one task. Beyond it every
+    step joins the table with itself and doubles the reach, so a chain of n segments takes about log2(n) steps and no
+    chain is gathered into a task.
     """
     alive = settled(segs.filter("alive").select("seg_id", "a", "b"))
     if not compact:
         forward = F.col("a") <= F.col("b")
         return alive.select("seg_id", F.col("seg_id").alias("chain_id"), F.lit(0).cast("long").alias("pos"), (~forward).alias("reversed"), F.least("a", "b").alias("from_node"), F.greatest("a", "b").alias("to_node"))
+    if alive.count() <= (TASK_SEGMENTS if task_segments is None else task_segments):
+        return alive.coalesce(1).mapInArrow(_in_one_task, "seg_id long, chain_id long, pos long, reversed boolean, from_node long, to_node long")
     through = degrees(segs).filter("degree = 2").select("vertex")
     ordered = _walked(alive, through)
     closed = settled(ordered.filter("closed").groupBy("chain_id").agg(F.min("seg_id").alias("seg_id")))
@@ -57,6 +70,52 @@ def chains(segs: DataFrame, compact: bool = True) -> DataFrame:
     return ordered.drop("closed")
 
 
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [[b.column(k).to_numpy() for k in ("seg_id", "a", "b")] for b in batches]
+    if held:
+        seg, a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(seg)
+        rows = walked(*(x[order].tolist() for x in (seg, a, b)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["seg_id", "chain_id", "pos", "reversed", "from_node", "to_node"])
+
+
+def walked(seg: list[int], a: list[int], b: list[int]) -> list[tuple[int, int, int, bool, int, int]]:
+    """(seg_id, chain_id, pos, reversed, from_node, to_node) of segments a-b in ascending order of seg."""
+    at: dict[int, list[int]] = {}
+    for i, two in enumerate(zip(a, b, strict=True)):
+        for v in two:
+            at.setdefault(v, []).append(i)
+    done, out = [False] * len(seg), []
+
+    def follow(node: int, i: int) -> None:
+        steps, v = [], node
+        while True:
+            done[i] = True
+            against = a[i] != v
+            steps.append((i, against))
+            v = a[i] if against else b[i]
+            if v == node or len(at[v]) != 2:
+                break
+            one, two = at[v]
+            i = two if one == i else one
+        start, end = node, v
+        if (start, seg[steps[0][0]]) > (end, seg[steps[-1][0]]):
+            steps, start, end = [(k, not against) for k, against in reversed(steps)], end, start
+        least = min(seg[k] for k, _ in steps)
+        out.extend((seg[k], least, pos, against, start, end) for pos, (k, against) in enumerate(steps))
+
+    for node, here in at.items():
+        if len(here) != 2:
+            for i in here:
+                if not done[i]:
+                    follow(node, i)
+    for i in range(len(seg)):  # closed chains, the least segment of each first
+        if not done[i]:
+            follow(a[i], i)
+    return out
+
+
 def _walked(alive: DataFrame, through: DataFrame) -> DataFrame:
     """Chains over these pass-through vertices. A dart is a segment in a direction: 2 * seg_id, plus 1 against it."""
     darts = alive.select((F.col("seg_id") * 2).alias("dart"), F.col("a").alias("tail"), F.col("b").alias("head")).unionByName(alive.select((F.col("seg_id") * 2 + 1).alias("dart"), F.col("b").alias("tail"), F.col("a").alias("head")))
@@ -116,18 +175,26 @@ def chain_segments(segs: DataFrame, chained: DataFrame) -> DataFrame:
         pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("ax", "bx").alias("ux"), pick("ay", "by").alias("uy"), pick("az", "bz").alias("uz"),
         pick("bx", "ax").alias("vx"), pick("by", "ay").alias("vy"), pick("bz", "az").alias("vz"), pick("a_grp", "b_grp").alias("u_grp"), pick("b_grp", "a_grp").alias("v_grp"),
         pick("measure_start", "measure_end").alias("u_measure"), pick("measure_end", "measure_start").alias("v_measure"),
+        *([pick("elevation_a", "elevation_b").alias("u_elevation"), pick("elevation_b", "elevation_a").alias("v_elevation")] if "elevation_a" in segs.columns else []),
     )
 
 
 def chain_totals(linked: DataFrame) -> DataFrame:
     """chain_id, from_node, to_node, n_segments, cost_fwd, cost_bwd, length; sums are taken in the chain's order."""
-    items = F.array_sort(F.collect_list(F.struct("pos", "cost_along", "cost_against", "length")))
+    fields = ("cost_along", "cost_against", "length")
 
     def total(field: str) -> Column:
         return F.aggregate("items", F.lit(0.0), lambda a, x: a + x[field])
 
-    grouped = linked.groupBy("chain_id", "from_node", "to_node").agg(items.alias("items"))
-    return grouped.select("chain_id", "from_node", "to_node", F.size("items").cast("long").alias("n_segments"), total("cost_along").alias("cost_fwd"), total("cost_against").alias("cost_bwd"), total("length").alias("length"))
+    def summed(rows: DataFrame, *keys: str) -> DataFrame:
+        items = F.sort_array(F.collect_list(F.struct("pos", *fields, "n"))).alias("items")
+        count = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return rows.groupBy("chain_id", "from_node", "to_node", *keys).agg(items).select("chain_id", "from_node", "to_node", *keys, *(total(f).alias(f) for f in fields), count.alias("n"))
+
+    # runs of bounded length first, so that no group holds a whole chain
+    runs = summed(linked.withColumns({"n": F.lit(1).cast("long"), "run": F.floor(F.col("pos") / RUN)}), "run")
+    whole = summed(runs.withColumnRenamed("run", "pos"))
+    return whole.select("chain_id", "from_node", "to_node", F.col("n").alias("n_segments"), F.col("cost_along").alias("cost_fwd"), F.col("cost_against").alias("cost_bwd"), "length")
 
 
 def directed_edges(totals: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ def limited(rows: DataFrame, order: list[str], limit: int = 1000) -> DataFrame:
 
 def level_reachability(graph: Graph) -> DataFrame:
     """grp, reaches, isolated: the other groups with which a group shares a component."""
-    labels = graph.nodes.filter("grp is not null").select("grp", "component").distinct()
+    label = graph.nodes.select(F.col("node").alias("from_node"), "component")
+    labels = graph.segments.join(label, "from_node").select(F.explode(F.array("u_grp", "v_grp")).alias("grp"), "component").filter("grp is not null").distinct()
     pairs = labels.join(labels.withColumnRenamed("grp", "other"), "component").filter("grp <> other").groupBy("grp").agg(F.array_sort(F.collect_set("other")).alias("reaches"))
     out = labels.select("grp").distinct().join(pairs, "grp", "left")
     return out.select("grp", F.coalesce("reaches", F.array().cast("array<string>")).alias("reaches"), F.col("reaches").isNull().alias("isolated"))

@@ -34,8 +34,11 @@ class Net:
     per_level: float = 0.0
     ordinals: np.ndarray | None = None
     chains: dict = field(default_factory=dict)  # arrays over chains and their segments, see plans.graph
-    landmarks: tuple[np.ndarray, np.ndarray] | None = None  # costs landmark -> node and node -> landmark
+    landmarks: tuple[list[list[float]], list[list[float]]] | None = None  # costs landmark -> node and node -> landmark
+    levels: dict[str, float] | None = None  # ordinals by group, for networks with levels
     _lists: tuple | None = None
+    _index: dict | None = None
+    _positions: list | None = None
 
     def lists(self) -> tuple:
         """Adjacency as Python lists, which the interpreter walks faster than arrays."""
@@ -45,6 +48,16 @@ class Net:
             self._lists = [list(zip(t[a:b], c[a:b], r[a:b], strict=True)) for a, b in zip(o[:-1], o[1:], strict=True)]
         return self._lists
 
+    def chain_index(self) -> dict[int, int]:
+        if self._index is None:
+            self._index = {int(c): i for i, c in enumerate(self.chains["ids"])}
+        return self._index
+
+    def positions(self) -> list[tuple[float, ...]]:
+        if self._positions is None:
+            self._positions = list(map(tuple, self.points.tolist()))
+        return self._positions
+
     def reverse(self) -> Net:
         src = np.repeat(np.arange(len(self.node_ids)), np.diff(self.offset))
         order = np.argsort(self.target, kind="stable")
@@ -54,7 +67,7 @@ class Net:
     @property
     def nbytes(self) -> int:
         arrays = [self.node_ids, self.offset, self.target, self.cost, self.ref, self.component, self.points, *(a for a in self.chains.values() if isinstance(a, np.ndarray))]
-        return sum(a.nbytes for a in arrays) + sum(a.nbytes for a in self.landmarks or ())
+        return sum(a.nbytes for a in arrays) + sum(8 * len(d) for side in self.landmarks or () for d in side)
 
 
 @dataclass
@@ -77,7 +90,10 @@ def register(name: str, engine: Engine, replace: bool = False) -> None:
     _engines[name] = engine
 
 
-def engine(name: str) -> Engine:
+def engine(name: str | Engine) -> Engine:
+    """The search of that name; a search itself is taken as it is, which is how one reaches the workers."""
+    if callable(name):
+        return name
     if name not in _engines:
         raise ValueError(f"unknown algorithm {name!r}; registered: {', '.join(sorted(_engines))}")
     return _engines[name]
@@ -137,42 +153,46 @@ def astar(net: Net, sources: dict[int, float], targets: set[int], max_cost: floa
 
 
 def rest_bound(net: Net, targets: list[int], sources: list[int], active: int = 4) -> Callable[[int], float]:
-    points, known = net.points, {}
-    goals = points[targets]
-    levels = net.ordinals[targets] if net.ordinals is not None and net.per_level > 0 else None
-    chosen = None
+    points, known = net.positions(), {}
+    scale = net.scale * SLACK
+    goals = [points[t] for t in targets]
+    ordinals = net.ordinals.tolist() if net.ordinals is not None and net.per_level > 0 else None
+    levels = [ordinals[t] for t in targets] if ordinals is not None else None
+    rise = net.per_level * SLACK
+    chosen = []
     if net.landmarks is not None:
         out, back = net.landmarks
         gain = [max(_alt(out[k], back[k], s, targets) for s in sources) for k in range(len(out))]
         chosen = sorted(range(len(out)), key=lambda k: (-gain[k] if not math.isnan(gain[k]) else 0, k))[:active]
+        chosen = [(out[k], back[k]) for k in chosen]
 
     def bound(node: int) -> float:
-        if node not in known:
-            flat = np.sqrt(((goals - points[node]) ** 2).sum(1)) * net.scale
-            if levels is not None:
-                flat = flat + net.per_level * np.abs(levels - net.ordinals[node])
-            value = float(flat.min()) * SLACK
-            if chosen is not None:
-                value = max([value, *(_alt(net.landmarks[0][k], net.landmarks[1][k], node, targets) * ALT_SLACK for k in chosen)])
+        value = known.get(node)
+        if value is None:
+            at = points[node]
+            if levels is None:
+                value = min([math.dist(at, g) for g in goals]) * scale
+            else:
+                own = ordinals[node]
+                value = min(math.dist(at, g) * scale + (abs(o - own) * rise if o == o and own == own else 0.0) for g, o in zip(goals, levels, strict=True))
+            for out, back in chosen:
+                value = max(value, _alt(out, back, node, targets) * ALT_SLACK)
             known[node] = value
-        return known[node]
+        return value
 
     return bound
 
 
-def _alt(out: np.ndarray, back: np.ndarray, node: int, targets: list[int]) -> float:
+def _alt(out: list[float], back: list[float], node: int, targets: list[int]) -> float:
     """The least over targets of what one landmark's triangle inequalities say of the cost from node."""
-    least = INF
+    least, from_mark, to_mark = INF, out[node], back[node]
     for t in targets:
         value = 0.0
-        if out[t] < INF and out[node] < INF:
-            value = max(value, out[t] - out[node])
-        elif out[node] < INF:  # the landmark reaches node but not the target, so node cannot either
-            value = INF
-        if back[node] < INF and back[t] < INF:
-            value = max(value, back[node] - back[t])
-        elif back[t] < INF:  # the target reaches the landmark but node does not
-            value = INF
+        if from_mark < INF:
+            # a landmark that reaches node but not the target tells that node cannot either
+            value = max(value, out[t] - from_mark) if out[t] < INF else INF
+        if back[t] < INF:
+            value = max(value, to_mark - back[t]) if to_mark < INF else INF
         least = min(least, value)
     return least
 
@@ -299,7 +319,7 @@ class Leg:
     reason: str | None = None
 
 
-def connect(net: Net, a: Anchor, b: Anchor, algorithm: str = "astar", max_cost: float = INF, max_settled: float = INF, active: int = 4) -> Leg:
+def connect(net: Net, a: Anchor, b: Anchor, algorithm: str | Engine = "astar", max_cost: float = INF, max_settled: float = INF, active: int = 4) -> Leg:
     """The cheapest leg from a to b: directly along a shared chain, or over nodes."""
     if a == b or _same_node(net, a, b):
         return Leg(0.0, [])

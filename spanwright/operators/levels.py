@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwright.functions.geometry import Metric
 from spanwright.functions.weights import INFINITE, ride_cost
+from spanwright.plans.materialise import with_rank
 
 
 def ride_pairs(stops: DataFrame) -> DataFrame:
@@ -25,6 +27,24 @@ def ride_pairs(stops: DataFrame) -> DataFrame:
     return pairs.withColumn("w", cost).select("connector_idx", "stop_idx_a", "stop_idx_b", "grp_a", "grp_b", F.col("x_a").alias("ax"), F.col("y_a").alias("ay"), F.col("x_b").alias("bx"), F.col("y_b").alias("by"), "levels", F.col("w.forward").alias("forward"), F.col("w.backward").alias("backward"))
 
 
+def ride_features(stops: DataFrame, levels: DataFrame | None, first: int) -> DataFrame:
+    """The rides between stops as line features, numbered from ``first``, with grp_a, grp_b, forward and backward.
+
+    stops as in ride_pairs; ordinals come from levels(group_key, ordinal), or from stops where they have them.
+    A stop's feature_idx, where there is one, is kept as of_feature.
+    """
+    told = stops.withColumns({"grp": F.col("grp").cast("string"), "of_feature": (F.col("feature_idx") if "feature_idx" in stops.columns else F.lit(None)).cast("long")})
+    if "ordinal" not in stops.columns:
+        told = told.withColumn("ordinal", F.lit(None).cast("double"))
+    if levels is not None:
+        known = levels.select(F.col("group_key").alias("grp"), F.col("ordinal").alias("known"))
+        told = told.join(known, "grp", "left").withColumn("ordinal", F.coalesce("ordinal", "known")).drop("known")
+    of = told.groupBy("connector_idx").agg(F.min("of_feature").alias("of_feature"))
+    pairs = with_rank(ride_pairs(told).join(of, "connector_idx"), ["connector_idx", "stop_idx_a", "stop_idx_b"], "n")
+    ends = [F.struct(F.col(f"{k}x").cast("double").alias("x"), F.col(f"{k}y").cast("double").alias("y"), F.lit(None).cast("double").alias("z")) for k in "ab"]
+    return pairs.select((F.col("n") + first).alias("feature_idx"), "of_feature", F.array(F.array(*ends)).alias("parts"), "grp_a", "grp_b", "forward", "backward")
+
+
 def point_stops(points: DataFrame) -> DataFrame:
     """Stops of point connectors(connector_idx, x, y, groups ARRAY, board_cost, per_level_cost, direction): one for each group, at least two or the row raises."""
     served = F.when(F.size(F.array_distinct("groups")) >= 2, F.array_distinct("groups")).otherwise(F.raise_error(F.lit("a connector serves at least two groups")).cast("array<string>"))
@@ -36,19 +56,25 @@ def per_level_bound(runs: DataFrame, scale: float) -> DataFrame:
     return runs.filter("span > 0").agg(F.greatest(F.lit(0.0), F.coalesce(F.min((F.col("cost") - scale * F.col("chord")) / F.col("span")), F.lit(0.0))).alias("per_level"))
 
 
-def connector_runs(segs: DataFrame, levels: DataFrame) -> DataFrame:
-    """feature_idx, part, cost, chord, span of connector parts: their cheaper direction, straight distance and difference of ordinals."""
+def connector_runs(segs: DataFrame, levels: DataFrame, metric: Metric | None = None) -> DataFrame:
+    """feature_idx, part, cost, chord, span of connector parts: their cheaper direction, straight distance and difference of ordinals.
+
+    The straight distance is an embedded one, which the metric never falls below.
+    """
     ordinal = levels.select(F.col("group_key").alias("g"), "ordinal")
     line = Window.partitionBy("feature_idx", "part").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = segs.withColumns({"g0": F.first("a_grp").over(line), "g1": F.last("b_grp").over(line), "x0": F.first("ax").over(line), "y0": F.first("ay").over(line), "x1": F.last("bx").over(line), "y1": F.last("by").over(line)}).filter("g0 is not null and g1 is not null and g0 <> g1")
     runs = ends.groupBy("feature_idx", "part", "g0", "g1", "x0", "y0", "x1", "y1").agg(F.sum("forward").alias("f"), F.sum("backward").alias("b"))
     runs = runs.join(ordinal.select(F.col("g").alias("g0"), F.col("ordinal").alias("o0")), "g0").join(ordinal.select(F.col("g").alias("g1"), F.col("ordinal").alias("o1")), "g1")
-    chord = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
+    chord = (metric or Metric()).straight(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return runs.withColumn("cost", F.least("f", "b")).filter(F.col("cost") < F.lit(INFINITE)).select("feature_idx", "part", "cost", chord.alias("chord"), F.abs(F.col("o1") - F.col("o0")).alias("span"))
 
 
 def elevations(segs: DataFrame, levels: DataFrame) -> DataFrame:
-    """segs with elevation_a and elevation_b: a group's own height, inside a connector interpolated by length between its ends."""
+    """segs with elevation_a and elevation_b: a group's own height, inside a connector interpolated by length between its ends.
+
+    A connector without length, such as a lift, has its ends' heights.
+    """
     height = levels.select(F.col("group_key").alias("g"), "elevation")
     line = Window.partitionBy("feature_idx", "part").orderBy("seg_idx")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -58,7 +84,10 @@ def elevations(segs: DataFrame, levels: DataFrame) -> DataFrame:
     def at(done: F.Column) -> F.Column:
         return F.when(F.col("g0") == F.col("g1"), F.col("e0")).otherwise(F.col("e0") + (F.col("e1") - F.col("e0")) * done / F.nullif(F.col("all"), F.lit(0.0)))
 
-    return run.withColumns({"elevation_a": at(F.col("done") - F.col("length")), "elevation_b": at(F.col("done"))}).drop("g0", "g1", "done", "all", "e0", "e1")
+    own = [height.select(F.col("g").alias(f"{k}_grp"), F.col("elevation").alias(f"e_{k}")) for k in "ab"]
+    run = run.join(own[0], "a_grp", "left").join(own[1], "b_grp", "left")
+    run = run.withColumns({"elevation_a": F.coalesce("e_a", at(F.col("done") - F.col("length"))), "elevation_b": F.coalesce("e_b", at(F.col("done")))}).drop("e_a", "e_b")
+    return run.drop("g0", "g1", "done", "all", "e0", "e1")
 
 
 def transitions(steps: DataFrame) -> DataFrame:

@@ -56,15 +56,15 @@ def near_segments(ends: DataFrame, segs: DataFrame, metric: Metric, limit: float
     return pairs.groupBy("vertex").agg(F.min(F.struct("gap", "seg_feature", "part", "seg_idx", "x", "y", "z", "grp", "feature_idx", "a", "b", "t", "px", "py", "ax", "ay", "az", "bx", "by", "bz", "length")).alias("m")).select("vertex", "m.*")
 
 
-def snap_dangles(segs: DataFrame, metric: Metric, limit: float) -> tuple[DataFrame, DataFrame]:
+def snap_dangles(segs: DataFrame, metric: Metric, limit: float, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """segs with loose ends moved onto their nearest segment within the limit, and the log of moves.
 
-    Near an end of that segment the loose end merges with it, else the segment is split at the foot point, which
-    takes the loose end's vertex.
+    Within the tolerance of an end of that segment (at least a billionth of its length) the loose end merges with it,
+    else the segment is split at the foot point, which takes the loose end's vertex.
     """
     found = settled(near_segments(loose_ends(segs), segs, metric, limit))
-    eps = 1e-9
-    at_end = F.when(F.col("t") * F.col("length") <= eps * F.col("length"), F.col("a")).when((1 - F.col("t")) * F.col("length") <= eps * F.col("length"), F.col("b"))
+    eps = F.greatest(F.lit(float(tolerance)), 1e-9 * F.col("length"))
+    at_end = F.when(F.col("t") * F.col("length") <= eps, F.col("a")).when((1 - F.col("t")) * F.col("length") <= eps, F.col("b"))
     found = found.withColumn("into", at_end)
     # splits keep the loose end's own vertex at the foot point; merges follow chains of merges to one survivor
     merges = found.filter("into is not null").select(F.col("vertex").alias("b"), F.col("into").alias("a"))
@@ -91,15 +91,19 @@ def intersections(segs: DataFrame) -> DataFrame:
     return hit.withColumns({"x": F.col("ax1") + F.col("t") * (F.col("bx1") - F.col("ax1")), "y": F.col("ay1") + F.col("t") * (F.col("by1") - F.col("ay1"))})
 
 
-def split_intersections(segs: DataFrame, metric: Metric) -> tuple[DataFrame, DataFrame]:
+def split_intersections(segs: DataFrame, metric: Metric, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """segs split where they cross (X) or touch (T) another of their group, and the log of splits.
 
-    Meeting places with equal coordinates are one vertex; a place at a segment's end is that end's vertex.
+    Meeting places with equal coordinates are one vertex, and that of their group which lies there already, if one
+    does; a place within the tolerance of a segment's end (at least a billionth of its length) is that end's vertex.
     """
-    hits = settled(intersections(segs))
-    eps = 1e-9
+    hits = intersections(segs)
+    for k in (1, 2):
+        hits = hits.withColumn(f"length{k}", metric.distance(*(F.col(f"{c}{k}") for c in ("ax", "ay", "bx", "by"))))
+    hits = settled(hits)
     ends = []
     for k, f in ((1, "t"), (2, "u")):
+        eps = F.greatest(F.lit(float(tolerance)), 1e-9 * F.col(f"length{k}")) / F.col(f"length{k}")
         ends.append(F.when(F.col(f) <= eps, F.struct(F.col(f"a{k}").alias("vertex"), F.col(f"ax{k}").alias("x"), F.col(f"ay{k}").alias("y"))).when(F.col(f) >= 1 - eps, F.struct(F.col(f"b{k}").alias("vertex"), F.col(f"bx{k}").alias("x"), F.col(f"by{k}").alias("y"))))
     hits = hits.withColumns({"end1": ends[0], "end2": ends[1]})
     top = segs.agg(F.max(F.greatest("a", "b"))).first()[0] or 0
@@ -107,7 +111,10 @@ def split_intersections(segs: DataFrame, metric: Metric) -> tuple[DataFrame, Dat
     from spanwright.plans.materialise import with_rank
 
     fresh = with_rank(inner.groupBy("grp", "kx", "ky").agg(F.min(F.struct("sid1", "sid2", "x", "y")).alias("m")).select("grp", "kx", "ky", "m.sid1", "m.sid2", F.col("m.x").alias("nx"), F.col("m.y").alias("ny")), ["sid1", "sid2"], "rank")
-    crossed = inner.drop("end1", "end2").join(fresh.select("grp", "kx", "ky", "nx", "ny", (F.col("rank") + top + 1).alias("cut")), ["grp", "kx", "ky"])
+    there = segs.select(F.explode(F.array(*(F.struct(F.col(k).alias("vertex"), F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y"), F.col(f"{k}_grp").alias("grp")) for k in "ab"))).alias("p")).select("p.*").filter("grp is not null")
+    there = there.groupBy("grp", F.round("x", 9).alias("kx"), F.round("y", 9).alias("ky")).agg(F.min(F.struct("vertex", "x", "y")).alias("old"))
+    fresh = fresh.join(there, ["grp", "kx", "ky"], "left").select("grp", "kx", "ky", F.coalesce("old.x", "nx").alias("nx"), F.coalesce("old.y", "ny").alias("ny"), F.coalesce("old.vertex", F.col("rank") + top + 1).alias("cut"))
+    crossed = inner.drop("end1", "end2").join(fresh, ["grp", "kx", "ky"])
     rows = []
     for k, f in ((1, "t"), (2, "u")):
         rows.append(crossed.select(f"sid{k}.*", F.col(f).alias("t"), "cut", F.col("nx").alias("cx"), F.col("ny").alias("cy")))

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.operators.engine import Anchor, Leg, Net, connect, engine, partial_cost
+from spanwright.operators.engine import Anchor, Engine, Leg, Net, connect, engine, partial_cost
 from spanwright.operators.snap import Snap, candidates
 from spanwright.plans.graph import Graph
 
@@ -22,15 +22,20 @@ INF = math.inf
 
 @dataclass(frozen=True)
 class RouteOptions:
-    """Defaults follow the catalogue in SURVEY section 2.15."""
+    """Defaults follow the catalogue in SURVEY section 2.15.
 
-    algorithm: str = "astar"
+    algorithm: the name of a registered search, or the search. cost_mode: whether leaving the first and reaching the
+    last place costs (snap_cost times the distance), with 'arrive-depart' reaching and leaving every other one too.
+    connectors: the path goes on to the waypoints themselves, at its ends or at every leg. include_snap_weight and
+    include_connector_distance add these to weight and distance.
+    """
+
+    algorithm: str | Engine = "astar"
     snap: Snap = field(default_factory=Snap)
     selection: str = "nearest"
     connectivity: str = "connected"
     snap_cost: float = 1.0
     cost_mode: str = "none"
-    pass_through: bool = False
     on_failure: str = "fail"
     skip_max: float = INF
     skip_leading: bool = False
@@ -38,6 +43,8 @@ class RouteOptions:
     max_settled: float = INF
     sections_detail: str = "feature"
     connectors: str | None = None
+    include_snap_weight: bool = False
+    include_connector_distance: bool = False
 
     def __post_init__(self) -> None:
         engine(self.algorithm)
@@ -50,38 +57,43 @@ class RouteOptions:
 
 _POINT = "struct<x:double,y:double,z:double>"
 ROUTE = (
-    f"route_id long, ok boolean, reason string, failed_leg int, weight double, distance double, snap_weight double, network_distance double, straight_distance double, settled long, path array<{_POINT}>, "
+    "route_id long, ok boolean, reason string, failed_leg int, weight double, distance double, snap_weight double, network_weight double, network_distance double, "
+    f"straight_distance double, level_changes double, vertical_distance double, settled long, path array<{_POINT}>, levels array<string>, "
     "legs array<struct<from_wp:int,to_wp:int,weight:double,distance:double,straight:boolean>>, "
     "sections array<struct<leg:int,feature_idx:bigint,start:int,end:int,distance:double,weight:double,measure_start:double,measure_end:double,grp:string>>, "
-    "waypoints array<struct<wp_idx:int,x:double,y:double,distance:double,relocation:double,rank:int,relocated:boolean>>, "
+    "transitions array<struct<leg:int,from_level:string,to_level:string,level_change:double,start:int,end:int,feature_idx:array<bigint>,weight:double,distance:double>>, "
+    "waypoints array<struct<wp_idx:int,x:double,y:double,distance:double,relocation:double,rank:int,relocated:boolean,feature_idx:bigint>>, "
     "skipped array<struct<wp_idx:int,reason:string>>"
 )
+_NAMES = ["route_id", "ok", "reason", "failed_leg", "weight", "distance", "snap_weight", "network_weight", "network_distance", "straight_distance", "level_changes", "vertical_distance", "settled", "path", "levels", "legs", "sections", "transitions", "waypoints", "skipped"]
 
 
 def routes(graph: Graph, waypoints: DataFrame, options: RouteOptions | None = None) -> DataFrame:
-    """One row for each route of waypoints(route_id, wp_idx, x, y); a failed one has ok false and a reason.
+    """One row for each route of waypoints(route_id, wp_idx, x, y, ...); a failed one has ok false and a reason.
 
     Reasons: INVALID_INPUT (fewer than two places, or one without coordinates), NO_CANDIDATE, DISCONNECTED,
     UNREACHABLE, BUDGET_EXCEEDED. With on_failure 'skip' a waypoint that cannot be reached is left out, with
-    'straight' the leg is a straight line of its length.
+    'straight' the leg is a straight line of its length. The snap's group and allowed may refer to the waypoints'
+    further columns. With levels, ``levels`` has the path points' groups, and transitions are the rides between groups.
     """
     o = options or RouteOptions()
-    points = waypoints.select(F.col("route_id").cast("long").alias("route_id"), F.col("wp_idx").cast("int").alias("wp_idx"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("point_id", F.struct("route_id", "wp_idx"))
+    own = {"route_id": F.col("route_id").cast("long"), "wp_idx": F.col("wp_idx").cast("int"), "x": F.col("x").cast("double"), "y": F.col("y").cast("double")}
+    points = waypoints.withColumns(own).withColumn("point_id", F.struct("route_id", "wp_idx"))
     good = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     snap = o.snap
     if o.selection == "nearest" and o.connectivity != "nearest" and snap.mode != "exact":
-        snap = Snap(snap.mode, 16, snap.max_distance, snap.max_relocation, snap.group, snap.feature_ids, snap.allowed, "component", snap.search_limit)
-    elif o.selection == "optimal" and snap.candidates == 1:
-        snap = Snap(snap.mode, 4, snap.max_distance, snap.max_relocation, snap.group, snap.feature_ids, snap.allowed, snap.distinct_by, snap.search_limit)
+        snap = replace(snap, candidates=16, distinct_by="component")
+    elif o.selection == "optimal" and snap.candidates is None:
+        snap = replace(snap, candidates=4)
     found = candidates(graph, good, snap)
-    fields = ["rank", "distance", "x", "y", "chain_id", "pos", "component", "grp"]
-    listed = found.groupBy("route_id", "wp_idx").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("places"))
+    fields = ["rank", "distance", "x", "y", "chain_id", "pos", "component", "grp", "feature_idx"]
+    listed = found.groupBy("route_id", "wp_idx").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("places"))
     stops = points.select("route_id", "wp_idx", F.col("x").alias("px"), F.col("y").alias("py")).join(listed, ["route_id", "wp_idx"], "left")
-    plans = stops.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("wp_idx", "px", "py", "places"))).alias("stops"))
-    shared = graph.shared_net()
-    metric = graph.metric
+    plans = stops.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("wp_idx", "px", "py", "places"))).alias("stops"))
     plans = plans.repartition(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), "route_id")
-    return plans.mapInPandas(_planner(shared, o, metric), ROUTE)
+    # columns cannot be sent to workers, and a search registered here is not known there
+    plain = replace(o, snap=Snap(o.snap.mode), algorithm=engine(o.algorithm))
+    return plans.mapInPandas(_planner(graph.shared_net(), plain, graph.metric), ROUTE)
 
 
 def _planner(shared, o: RouteOptions, metric):
@@ -89,10 +101,10 @@ def _planner(shared, o: RouteOptions, metric):
         import pandas as pd
 
         net = shared.value
-        index = {int(c): i for i, c in enumerate(net.chains["ids"])}
+        index = net.chain_index()
         for pdf in batches:
             rows = [plan(net, index, int(r.route_id), [_stop(s) for s in r.stops], o, metric) for r in pdf.itertuples()]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in ("route_id", "ok", "reason", "failed_leg", "weight", "distance", "snap_weight", "network_distance", "straight_distance", "settled", "path", "legs", "sections", "waypoints", "skipped")])
+            yield pd.DataFrame(rows, columns=_NAMES)
 
     return run
 
@@ -109,17 +121,18 @@ class _Choice:
     place: dict
     nearest: float
     anchor: Anchor
+    stop: tuple[float, float]
 
 
 def plan(net: Net, index: dict[int, int], route_id: int, stops: list[dict], o: RouteOptions, metric) -> tuple:
     def failed(reason: str, leg: int | None = None, settled: int = 0, skipped=()) -> tuple:
-        return (route_id, False, reason, leg, None, None, None, None, None, settled, [], [], [], [], list(skipped))
+        return (route_id, False, reason, leg, None, None, None, None, None, None, None, None, settled, [], [], [], [], [], [], list(skipped))
 
     if len(stops) < 2 or any(s["x"] is None or s["y"] is None or s["x"] != s["x"] or s["y"] != s["y"] for s in stops):
         return failed("INVALID_INPUT")
 
     def choice(s: dict, p: dict) -> _Choice:
-        return _Choice(s["wp"], p, min(q["distance"] for q in s["places"]), Anchor(index[int(p["chain_id"])], _whole(float(p["pos"]))))
+        return _Choice(s["wp"], p, min(q["distance"] for q in s["places"]), Anchor(index[int(p["chain_id"])], _whole(float(p["pos"]))), (s["x"], s["y"]))
 
     skipped: list[dict] = []
     active = []
@@ -202,11 +215,7 @@ def _optimal(net: Net, route_id: int, layers: list[list[_Choice]], o: RouteOptio
     A place's snap cost counts at the route's ends, or where it is left and where it is reached ('arrive-depart').
     """
     def snap_cost(c: _Choice, k: int) -> float:
-        if o.cost_mode == "none":
-            return 0.0
-        end = k in (0, len(layers) - 1)
-        factor = 1 if end else (2 if o.cost_mode == "arrive-depart" else 0)
-        return factor * o.snap_cost * c.place["distance"]
+        return _snap_cost(o, c, k in (0, len(layers) - 1))
 
     costs = [snap_cost(c, 0) for c in layers[0]]
     back: list[list[tuple[int, Leg] | None]] = []
@@ -234,8 +243,12 @@ def _optimal(net: Net, route_id: int, layers: list[list[_Choice]], o: RouteOptio
         legs.append((leg, False))
         used.append(layers[k - 1][at])
     used, legs = used[::-1], legs[::-1]
-    snaps = sum(snap_cost(c, k) for k, c in enumerate(used))
-    return _composed(net, route_id, used, legs, o, metric, skipped, settled, snaps)
+    return _composed(net, route_id, used, legs, o, metric, skipped, settled)
+
+
+def _snap_cost(o: RouteOptions, c: _Choice, end: bool) -> float:
+    factor = 0 if o.cost_mode == "none" else 1 if end else 2 if o.cost_mode == "arrive-depart" else 0
+    return factor * o.snap_cost * c.place["distance"]
 
 
 def _slots(net: Net, pieces: list[tuple[int, float, float]]) -> Iterator[tuple[int, float, float, bool]]:
@@ -250,47 +263,93 @@ def _slots(net: Net, pieces: list[tuple[int, float, float]]) -> Iterator[tuple[i
                 yield first + k, f, t, not forward
 
 
-def _at(c: dict, slot: int, f: float) -> tuple[float, float, float | None]:
+def _at(c: dict, slot: int, f: float) -> tuple[float, float, float | None, str | None]:
+    """The place at a fraction of a segment, and its group; inside a connector it has none."""
     if f == 0 or f == 1:
         k = "u" if f == 0 else "v"
         z = c[f"{k}z"][slot]
-        return float(c[f"{k}x"][slot]), float(c[f"{k}y"][slot]), None if z != z else float(z)
+        return float(c[f"{k}x"][slot]), float(c[f"{k}y"][slot]), None if z != z else float(z), c[f"{k}_grp"][slot]
     x, y, z = (c[f"u{k}"][slot] + f * (c[f"v{k}"][slot] - c[f"u{k}"][slot]) for k in "xyz")
-    return float(x), float(y), None if z != z else float(z)
+    return float(x), float(y), None if z != z else float(z), _group(c, slot)
+
 
+def _group(c: dict, slot: int) -> str | None:
+    return c["u_grp"][slot] if c["u_grp"][slot] == c["v_grp"][slot] else None
 
-def _composed(net: Net, route_id: int, used: list[_Choice], legs: list[tuple[Leg, bool]], o: RouteOptions, metric, skipped: list[dict], settled: int, snap_weight: float = 0.0) -> tuple:
-    c = net.chains
+
+def _height(c: dict, slot: int, f: float) -> float:
+    low, high = c["u_elevation"][slot], c["v_elevation"][slot]
+    return float(low if f == 0 else high if f == 1 else low + f * (high - low))
+
+
+def _passages(net: Net, sections: list[dict], levels: list[str | None]) -> list[dict]:
+    """The rides of a route: successive sections without a group, of one leg, are one."""
+    out: list[dict] = []
+    for s in sections:
+        if s["grp"] is not None:
+            continue
+        ride = out[-1] if out and out[-1]["leg"] == s["leg"] and out[-1]["_next"] == s["_k"] else None
+        if ride is None:
+            ride = {"leg": s["leg"], "from_level": levels[s["start"]], "start": s["start"], "feature_idx": [], "weight": 0.0, "distance": 0.0}
+            out.append(ride)
+        if s["feature_idx"] not in ride["feature_idx"]:
+            ride["feature_idx"].append(s["feature_idx"])
+        ride |= {"end": s["end"], "to_level": levels[s["end"]], "weight": ride["weight"] + s["weight"], "distance": ride["distance"] + s["distance"], "_next": s["_k"] + 1}
+    for ride in out:
+        change = net.levels.get(ride["to_level"], math.nan) - net.levels.get(ride["from_level"], math.nan)
+        ride["level_change"] = change if change == change else 0.0
+        del ride["_next"]
+    return out
+
+
+def _composed(net: Net, route_id: int, used: list[_Choice], legs: list[tuple[Leg, bool]], o: RouteOptions, metric, skipped: list[dict], settled: int) -> tuple:
+    c, levelled = net.chains, net.levels is not None
     path: list[dict] = []
+    levels: list[str | None] = []
     sections: list[dict] = []
     told: list[dict] = []
-    weight = distance = network = straight_total = 0.0
-
-    def point(x: float, y: float, z: float | None) -> None:
-        if not path or (path[-1]["x"], path[-1]["y"]) != (x, y) or path[-1]["z"] != z:
-            path.append({"x": x, "y": y, "z": z})
-
+    weight = distance = network = straight_total = climbed = connector = 0.0
+    def point(x: float, y: float, z: float | None, level: str | None = None) -> None:
+        row = {"x": x, "y": y, "z": z}
+        if not path or path[-1] != row or (levelled and levels[-1] != level):
+            path.append(row)
+            if levelled:
+                levels.append(level)
+
+    def reached(c: _Choice) -> float:
+        """Goes to a waypoint itself."""
+        x, y = c.stop
+        gap = metric.distance_py(path[-1]["x"], path[-1]["y"], x, y)
+        point(x, y, None, c.place["grp"])
+        return gap
+
+    if o.connectors:
+        point(*used[0].stop, None, used[0].place["grp"])
     for k, (leg, straight) in enumerate(legs):
         a, b = used[k].place, used[k + 1].place
+        begin = len(path)
         if straight:
-            point(a["x"], a["y"], None)
-            point(b["x"], b["y"], None)
+            point(a["x"], a["y"], None, a["grp"])
+            point(b["x"], b["y"], None, b["grp"])
             length = metric.distance_py(a["x"], a["y"], b["x"], b["y"])
             straight_total += length
         else:
             length = 0.0
             if not leg.pieces:
-                point(a["x"], a["y"], None)
+                point(a["x"], a["y"], None, a["grp"])
             last = None
             for slot, f, t, against in _slots(net, leg.pieces):
                 start, end = (t, f) if against else (f, t)
                 point(*_at(c, slot, start))
                 point(*_at(c, slot, end))
+                if levelled:
+                    here, onward = _height(c, slot, start), _height(c, slot, end)
+                    climbed += abs(onward - here) if onward == onward and here == here else 0.0
                 part = t - f
                 meters, cost = part * c["length"][slot], part * (c["against"] if against else c["along"])[slot]
                 length += meters
                 m0, m1 = (c["u_measure"][slot] + q * (c["v_measure"][slot] - c["u_measure"][slot]) for q in (start, end))
-                grp = c["u_grp"][slot] if c["u_grp"][slot] == c["v_grp"][slot] else None
+                grp = _group(c, slot)
                 feature = int(c["feature"][slot])
                 joined = last is not None and last["feature_idx"] == feature and last["grp"] == grp and o.sections_detail != "segment"
                 if joined and o.sections_detail == "measure":
@@ -300,19 +359,25 @@ def _composed(net: Net, route_id: int, used: list[_Choice], legs: list[tuple[Leg
                     last["distance"] += float(meters)
                     last["weight"] += float(cost)
                 else:
-                    last = {"leg": k, "feature_idx": feature, "start": max(len(path) - 2, 0), "end": len(path) - 1, "distance": float(meters), "weight": float(cost), "measure_start": float(m0), "measure_end": float(m1), "grp": grp, "_part": int(c["part"][slot])}
+                    last = {"leg": k, "feature_idx": feature, "start": max(len(path) - 2, 0), "end": len(path) - 1, "distance": float(meters), "weight": float(cost), "measure_start": float(m0), "measure_end": float(m1), "grp": grp, "_part": int(c["part"][slot]), "_k": len(sections)}
                     sections.append(last)
             network += length
+        if o.connectors and k == 0 and begin < len(path):
+            connector += metric.distance_py(*used[0].stop, a["x"], a["y"])
+        if o.connectors == "legs" or (o.connectors and k == len(legs) - 1):
+            gap = reached(used[k + 1])
+            connector += gap * (1 if k == len(legs) - 1 else 2)
         weight += leg.cost
         distance += length
         told.append({"from_wp": used[k].wp, "to_wp": used[k + 1].wp, "weight": float(leg.cost), "distance": float(length), "straight": straight})
+    rides = _passages(net, sections, levels) if levelled else []
     for s in sections:
-        del s["_part"]
-    if o.connectors and not o.selection == "optimal":
-        ends = used if o.connectors == "legs" else [used[0], used[-1]]
-        distance += sum(u.place["distance"] for u in ends)
-    stops = [{"wp_idx": u.wp, "x": u.place["x"], "y": u.place["y"], "distance": u.place["distance"], "relocation": u.place["distance"] - u.nearest, "rank": int(u.place["rank"]), "relocated": int(u.place["rank"]) > 0} for u in used]
-    return (route_id, True, None, None, float(weight + snap_weight), float(distance), float(snap_weight), float(network), float(straight_total), settled, path, told, sections, stops, skipped)
+        del s["_part"], s["_k"]
+    snaps = sum(_snap_cost(o, u, k in (0, len(used) - 1)) for k, u in enumerate(used))
+    total = weight + snaps * o.include_snap_weight
+    changes = float(sum(abs(r["level_change"]) for r in rides)) if levelled else None
+    stops = [{"wp_idx": u.wp, "x": u.place["x"], "y": u.place["y"], "distance": u.place["distance"], "relocation": u.place["distance"] - u.nearest, "rank": int(u.place["rank"]), "relocated": int(u.place["rank"]) > 0, "feature_idx": int(u.place["feature_idx"])} for u in used]
+    return (route_id, True, None, None, float(total), float(distance + connector * o.include_connector_distance), float(snaps), float(weight), float(network), float(straight_total), changes, climbed if levelled else None, settled, path, levels, told, sections, rides, stops, skipped)
 
 
 def one_to_many(graph: Graph, sources: DataFrame, targets: DataFrame, snap: Snap | None = None, max_cost: float = INF) -> DataFrame:
@@ -345,7 +410,7 @@ def _fan(shared, ends: list[tuple], max_cost: float):
         from spanwright.operators.engine import dijkstra, exits, seeds
 
         net = shared.value
-        index = {int(c): i for i, c in enumerate(net.chains["ids"])}
+        index = net.chain_index()
         goals = [(d, None if c is None else Anchor(index[int(c)], _whole(float(p)))) for d, c, p in ends]
         outs = [(d, a, exits(net, a) if a else {}) for d, a in goals]
         wanted = {n for _, _, out in outs for n in out}

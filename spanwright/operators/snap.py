@@ -18,7 +18,7 @@ from spanwright.plans.graph import Graph
 from spanwright.plans.materialise import settled
 
 MODES = ("edge", "vertex", "node", "exact")
-DISTINCT = ("chain", "feature", "component", "strong")
+DISTINCT = ("chain", "feature", "component")
 
 
 @dataclass(frozen=True)
@@ -26,11 +26,13 @@ class Snap:
     """Which places count, and how many.
 
     group: an expression over the point's columns that a place's grp must equal. allowed: an expression over the
-    candidate's and the point's columns. distinct_by: at most one place of each chain, feature or component.
+    candidate's and the point's columns. distinct_by: at most one place of each chain (and feature of it; of each
+    node, at nodes), feature or component. search_limit: so many nearest segments or points are looked at, whether
+    they count or not. candidates is 1 by default, 4 for optimal selection.
     """
 
     mode: str = "edge"
-    candidates: int = 1
+    candidates: int | None = None
     max_distance: float = INFINITE
     max_relocation: float = INFINITE
     group: Column | None = None
@@ -42,11 +44,13 @@ class Snap:
     def __post_init__(self) -> None:
         if self.mode not in MODES:
             raise ValueError(f"unknown snap mode {self.mode!r}")
-        if not 1 <= self.candidates <= 16:
+        if self.candidates is not None and not 1 <= self.candidates <= 16:
             raise ValueError("candidates is between 1 and 16")
+        if self.search_limit < 1:
+            raise ValueError("search_limit is at least 1")
         if not self.max_distance >= 0 or not self.max_relocation >= 0:
             raise ValueError("distances are not negative")
-        if self.distinct_by not in DISTINCT[:3]:
+        if self.distinct_by not in DISTINCT:
             raise ValueError(f"cannot tell candidates apart by {self.distinct_by!r}")
 
 
@@ -100,29 +104,32 @@ def _nearest(graph: Graph, asked: DataFrame, targets: DataFrame, snap: Snap) ->
     targets = settled(targets)
     box = targets.agg(F.count("*").alias("n"), F.min(F.least("ux", "vx")).alias("x0"), F.max(F.greatest("ux", "vx")).alias("x1"), F.min(F.least("uy", "vy")).alias("y0"), F.max(F.greatest("uy", "vy")).alias("y1"), F.avg(F.greatest(F.abs(F.col("ux") - F.col("vx")), F.abs(F.col("uy") - F.col("vy")))).alias("w")).first()
     if not box["n"]:
-        return _shaped(asked.limit(0), targets.limit(0), graph, snap)
+        return _shaped(asked.limit(0), targets.limit(0), graph, snap).drop("counts", "scanned", "scan_distance")
     span = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9)
     size = max(2 * box["w"], span / max(1.0, box["n"] ** 0.5), 1e-9)
+    if (snap.candidates or 1) > 1:
+        size *= 2
     left, out = asked, None
     while True:
         last = size >= 2 * span
-        found = _shaped(_around(left, size, last), _covered(targets, size, last), graph, snap)
-        found = settled(found)
-        # what lies outside the block of cells around a point is at least one cell away
-        sx, sy = (c if graph.metric.geographic else F.lit(1.0) for c in graph.metric.scales(F.col("py")))
-        reach = F.least(sx, sy) * size * (1 - 1e-9)
+        found = settled(_shaped(_around(left, size, last), _covered(targets, size, last), graph, snap))
         if last:
-            done = left.select("point_id")
+            part = found
         else:
-            far = found.groupBy("point_id").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
-            seen = left.join(far, "point_id", "left")
-            done = settled(seen.filter(((F.coalesce("n", F.lit(0)) >= snap.candidates) & (F.col("d") <= reach)) | (F.lit(float(snap.max_distance)) <= reach)).select("point_id"))
-        part = found if last else found.join(done, "point_id", "left_semi")
+            # what lies outside the block of cells around a point is at least one cell away
+            sx, sy = (c if graph.metric.geographic else F.lit(1.0) for c in graph.metric.scales(F.col("py")))
+            reach = F.least(sx, sy) * size * (1 - 1e-9)
+            far = found.groupBy("point_id").agg(F.count(F.when(F.col("counts"), 1)).alias("n"), F.max(F.when(F.col("counts"), F.col("distance"))).alias("d"), F.max("scanned").alias("scanned"), F.max("scan_distance").alias("scan_distance"))
+            enough = (F.coalesce("n", F.lit(0)) >= (snap.candidates or 1)) & (F.col("d") <= reach)
+            spent = (F.col("scanned") >= snap.search_limit) & (F.col("scan_distance") <= reach)
+            done = settled(left.join(far, "point_id", "left").filter(enough | spent | (F.lit(float(snap.max_distance)) <= reach)).select("point_id"))
+            part = found.join(done, "point_id", "left_semi")
+        part = part.filter("counts").drop("counts", "scanned", "scan_distance")
         out = part if out is None else out.unionByName(part)
         left = left if last else settled(left.join(done, "point_id", "left_anti"))
         if last or left.isEmpty():
             return out
-        size *= 4
+        size *= 2
 
 
 def _around(points: DataFrame, size: float, last: bool) -> DataFrame:
@@ -149,22 +156,33 @@ def _shaped(points: DataFrame, targets: DataFrame, graph: Graph, snap: Snap) ->
     t = along(F.col("px"), F.col("py"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"), sx, sy)
     hit = points.join(targets, ["i", "j"]).drop("i", "j").withColumn("t", t)
     hit = hit.withColumns({"x": F.col("ux") + F.col("t") * (F.col("vx") - F.col("ux")), "y": F.col("uy") + F.col("t") * (F.col("vy") - F.col("uy")), "pos": F.col("pos") + F.col("t"), "measure": F.col("u_measure") + F.col("t") * (F.col("v_measure") - F.col("u_measure"))})
-    hit = hit.withColumn("distance", graph.metric.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))).filter(F.col("distance") <= float(snap.max_distance))
+    hit = hit.withColumn("distance", graph.metric.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y")))
     facing = side(F.col("px"), F.col("py"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
     turned = F.when(facing == "left", "right").when(facing == "right", "left").otherwise("on")
     hit = hit.withColumn("side", F.when(F.col("distance") == 0, "on").when(F.col("reversed"), turned).otherwise(facing))
     hit = hit.filter(F.col("want").isNull() | (F.col("want") == F.col("grp")))
-    if snap.allowed is not None:
-        hit = hit.filter(F.coalesce(snap.allowed, F.lit(False)))
     order = ["distance", "feature_idx", "part", "seg_idx"]
     near = Window.partitionBy("point_id")
-    key = {"chain": ["chain_id", "feature_idx"], "feature": ["feature_idx"], "component": ["component"]}[snap.distinct_by]
-    if snap.mode == "edge":
-        hit = hit.withColumn("_k", F.row_number().over(Window.partitionBy("point_id", *key).orderBy(*order))).filter("_k = 1").drop("_k")
+    scan = F.row_number().over(near.orderBy(*order))
+    hit = hit.withColumn("scan", scan).filter(F.col("scan") <= snap.search_limit).withColumns({"scanned": F.count("*").over(near), "scan_distance": F.max("distance").over(near)})
+    fits = F.col("distance") <= float(snap.max_distance)
+    if snap.allowed is not None:
+        fits = fits & F.coalesce(snap.allowed, F.lit(False))
+    hit = hit.withColumn("counts", fits)
+    if snap.mode != "edge":
+        key = [F.col("vertex")]
+    elif snap.distinct_by == "chain":
+        at = F.when((F.col("t") == 0) & F.col("u").isin(F.col("from_node"), F.col("to_node")), F.col("u")).when((F.col("t") == 1) & F.col("v").isin(F.col("from_node"), F.col("to_node")), F.col("v"))
+        key = [at, F.when(at.isNull(), F.col("chain_id")), F.when(at.isNull(), F.col("feature_idx"))]
     else:
-        hit = hit.withColumn("_k", F.row_number().over(Window.partitionBy("point_id", "vertex").orderBy(*order))).filter("_k = 1").drop("_k")
-    hit = hit.withColumn("rank", F.row_number().over(near.orderBy(*order)) - 1).filter(F.col("rank") < snap.candidates)
-    hit = hit.withColumn("relocation", F.col("distance") - F.min("distance").over(near))
+        key = [F.col({"feature": "feature_idx", "component": "component"}[snap.distinct_by])]
+    first = F.row_number().over(Window.partitionBy("point_id", "counts", *key).orderBy(*order)) == 1
+    hit = hit.withColumn("counts", F.col("counts") & first)
+    hit = hit.withColumn("rank", F.row_number().over(Window.partitionBy("point_id", "counts").orderBy(*order)) - 1)
+    hit = hit.withColumn("relocation", F.col("distance") - F.min(F.when(F.col("counts"), F.col("distance"))).over(near))
+    hit = hit.withColumn("counts", F.col("counts") & (F.col("rank") < (snap.candidates or 1)) & (F.col("relocation") <= float(snap.max_relocation)))
+    # a point without a place that counts keeps the row of its first look, which tells how far it looked
+    hit = hit.filter(F.col("counts") | (F.col("scan") == 1))
     keep = [c for c in points.columns if c not in ("i", "j")]
     extra = ["vertex"] if snap.mode != "edge" else []
-    return hit.filter(F.col("relocation") <= float(snap.max_relocation)).select(*keep, *extra, "rank", "distance", "relocation", "x", "y", "chain_id", "pos", "seg_id", "feature_idx", "part", "grp", "component", "side", "measure")
+    return hit.select(*keep, *extra, "counts", "scanned", "scan_distance", "rank", "distance", "relocation", "x", "y", "chain_id", "pos", "seg_id", "feature_idx", "part", "grp", "component", "side", "measure")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,8 @@ from spanwright.plans.materialise import settled
 
 #: Bytes of a compact network that may be sent to the executors.
 BROADCAST_BOUND = 512 << 20
+#: Groups that a table of levels may name.
+MOST_LEVELS = 100_000
 FORMAT = "spanwright-graph"
 VERSION = 1
 REPAIR = "kind string, x double, y double, feature_a long, feature_b long, gap double"
@@ -25,7 +27,10 @@ TABLES = ("vertices", "segments", "chains", "edges", "nodes", "repairs")
 
 @dataclass
 class Options:
-    """How a network is built. Expressions are over feature columns (group, end_group, node_id) or segment columns (weight)."""
+    """How a network is built. Expressions are over feature columns (group, end_group, node_id) or segment columns (weight).
+
+    levels(group_key, ordinal, elevation) tells of groups; connectors are the stops of rides, see levels.ride_pairs.
+    """
 
     metric: str = "euclidean"
     weight: Column | None = None
@@ -37,6 +42,8 @@ class Options:
     end_group: Column | None = None
     node_id: Column | None = None
     zero_weight: str = "impassable"
+    levels: DataFrame | None = None
+    connectors: DataFrame | None = None
 
     def __post_init__(self) -> None:
         for name in ("tolerance", "snap_dangles"):
@@ -84,10 +91,20 @@ class Graph:
         least = self.segments.filter(straight > 0).agg(F.min(F.least("cost_along", "cost_against") / straight)).first()[0]
         return 0.0 if least is None else float(least) * (1 - 1e-6)
 
+    def _level_table(self) -> dict[str, tuple[float, float]] | None:
+        """Ordinal and elevation by group, of at most MOST_LEVELS groups."""
+        if self.levels is None:
+            return None
+        rows = self.levels.select("group_key", F.col("ordinal").cast("double"), F.col("elevation").cast("double")).limit(MOST_LEVELS + 1).collect()
+        if len(rows) > MOST_LEVELS:
+            raise ValueError(f"more than {MOST_LEVELS} levels")
+        return {r[0]: tuple(np.nan if v is None else v for v in r[1:]) for r in rows}
+
     def net(self) -> Net:
         """The compact form. Raises ValueError beyond BROADCAST_BOUND, which is checked before anything is fetched."""
         if "net" in self._sent:
             return self._sent["net"]
+        levels = self._level_table()
         counts = self.segments.count(), self.edges.count(), self.nodes.count()
         if counts[0] * 120 + counts[1] * 24 + counts[2] * 40 > BROADCAST_BOUND:
             raise ValueError("the network is too large to be sent to executors; use search.relax for whole-network costs")
@@ -113,7 +130,11 @@ class Graph:
             **{k: segs[k].to_numpy(float) for k in ("ux", "uy", "uz", "vx", "vy", "vz", "u_measure", "v_measure")},
             "u_grp": segs["u_grp"].to_numpy(object), "v_grp": segs["v_grp"].to_numpy(object),
         }
-        net = Net(nodes["node"].to_numpy(np.int64), offset, dst[order], edges["cost"].to_numpy(float)[order] if len(edges) else np.zeros(0), ref[order], component, points, self.heuristic_scale(), self.per_level, None, table)
+        ordinals = None
+        if levels is not None:
+            ordinals = np.array([levels.get(g, (np.nan, np.nan))[0] for g in nodes["grp"]], float)
+            table |= {f"{k}_elevation": segs[f"{k}_elevation"].to_numpy(float) for k in "uv"}
+        net = Net(nodes["node"].to_numpy(np.int64), offset, dst[order], edges["cost"].to_numpy(float)[order] if len(edges) else np.zeros(0), ref[order], component, points, self.heuristic_scale(), self.per_level, ordinals, table, levels=None if levels is None else {g: o for g, (o, _) in levels.items()})
         self._sent["net"] = net
         return net
 
@@ -165,11 +186,17 @@ def untagged(value):
 
 def build(features: DataFrame, options: Options | None = None, extra_segments: DataFrame | None = None) -> Graph:
     """The network of features(feature_idx, id, geom_type, parts, props), each stage settled where several follow."""
+    from spanwright.operators import levels as lv
     from spanwright.operators import repair
 
     o = options or Options()
     spark = features.sparkSession
+    table = None if o.levels is None else o.levels.withColumns({k: (F.col(k) if k in o.levels.columns else F.lit(None)).cast("double") for k in ("ordinal", "elevation")})
     coords = tp.coordinates(features, o.group, o.end_group, o.node_id)
+    rides = None
+    if o.connectors is not None:
+        rides = settled(lv.ride_features(o.connectors, table, features.agg(F.coalesce(F.max("feature_idx"), F.lit(-1))).first()[0] + 1))
+        coords = coords.unionByName(tp.coordinates(rides, F.col("grp_a"), F.col("grp_b")))
     metric = Metric(o.metric)
     if metric.geographic:
         tp.check_geographic(coords)
@@ -183,18 +210,29 @@ def build(features: DataFrame, options: Options | None = None, extra_segments: D
         placed = tp.exact_vertices(coords)
     segs = tp.segments(settled(placed), metric)
     if o.snap_dangles > 0:
-        segs, log = repair.snap_dangles(segs, metric, o.snap_dangles)
+        segs, log = repair.snap_dangles(segs, metric, o.snap_dangles, o.tolerance)
         repairs = repairs.unionByName(log)
     if o.split_intersections:
-        segs, log = repair.split_intersections(segs, metric)
+        segs, log = repair.split_intersections(segs, metric, o.tolerance)
         repairs = repairs.unionByName(log)
     segs = tp.with_measures(segs)
     if extra_segments is not None:
         segs = segs.unionByName(extra_segments, allowMissingColumns=True)
     if o.weight is not None and "props" in features.columns:
         segs = segs.join(features.select("feature_idx", "props"), "feature_idx", "left")
-    weighted = settled(ch.weighted(segs, o.weight, o.zero_weight == "free").drop("props"))
-    return assemble(weighted, metric, o.compact, repairs)
+    weight = o.weight
+    if rides is not None:
+        own = rides.select("feature_idx", F.struct(F.col("forward").alias("forward"), F.col("backward").alias("backward")).alias("ride"))
+        segs = segs.join(own, "feature_idx", "left")
+        plain = weight if weight is not None else F.struct(F.col("length").alias("forward"), F.col("length").alias("backward"))
+        weight = F.when(F.col("ride").isNotNull(), F.col("ride")).otherwise(plain)
+    weighted = settled(ch.weighted(segs, weight, o.zero_weight == "free").drop("props", "ride"))
+    if table is None:
+        return assemble(weighted, metric, o.compact, repairs)
+    graph = assemble(lv.elevations(weighted, table), metric, o.compact, repairs)
+    runs = lv.connector_runs(weighted.filter("alive"), table, metric)
+    least = lv.per_level_bound(runs, graph.heuristic_scale()).first()["per_level"]
+    return replace(graph, levels=settled(table), per_level=float(least) * (1 - 1e-6))
 
 
 def assemble(segs: DataFrame, metric: Metric, compact: bool = True, repairs: DataFrame | None = None) -> Graph:

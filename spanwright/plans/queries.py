@@ -19,7 +19,7 @@ from spanwright.operators import repair
 from spanwright.operators import topology as tp
 from spanwright.operators.engine import INF
 from spanwright.operators.route import RouteOptions, matrix, one_to_many, routes
-from spanwright.operators.search import costs_from, landmark_bounds, landmarks, relax, strong_labels
+from spanwright.operators.search import along_chains, costs_from, landmark_bounds, landmarks, relax, strong_labels, with_landmarks
 from spanwright.operators.snap import Snap, candidates
 from spanwright.plans import networks as nw
 from spanwright.plans.graph import Graph
@@ -332,43 +332,47 @@ def way_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("point_id"), (F.col("user_id") * 7 % 50 + 0.25).cast("double").alias("x"), (F.col("event_id") % 40 + 0.375).cast("double").alias("y"), "user_id", "ts")
 
 
+#: A search limit that no network reaches: the queries' SQL looks at all segments.
+ALL = 1 << 40
 POINTS = "pt as (select event_id as id, user_id * 7 % 50 + 0.25 as x, event_id % 40 + 0.375 as y from events)"
 PLACES = ALIVE + ", " + POINTS + """,
 foot as (select id, x, y, a * 2 + kind as f, ax, ay, bx, b_y, greatest(0.0, least(1.0, (x - ax) * (bx - ax) + (y - ay) * (b_y - ay))) as t from pt, alive),
 place as (select id, f, round(ax + t * (bx - ax), 9) as px, round(ay + t * (b_y - ay), 9) as py, round(sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (b_y - ay)), 2)), 9) as distance, t,
-  case when (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) > 0 then 'left' when (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) < 0 then 'right' else 'on' end as side from foot)"""
+  case when (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) > 0 then 'left' when (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) < 0 then 'right' else 'on' end as side,
+  case when t = 0 then -1 - a when t = 1 then -1 - b else f end as k from (select foot.*, a, b from foot join (select a * 2 + kind as f, a, b from alive) using (f))),
+one as (select * from place{where} qualify row_number() over (partition by id, k order by distance, f) = 1)"""
 
 
 def _places(found: DataFrame) -> DataFrame:
     return found.select("point_id", "feature_idx", F.col("rank").cast("long").alias("rank"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), F.round("distance", 9).alias("distance"), F.round("measure", 9).alias("measure"), "side")
 
 
-_TOP = "select id as point_id, f as feature_idx, rank, px as x, py as y, distance, round(t, 9) as measure, case when distance = 0 then 'on' else side end as side from (select *, row_number() over (partition by id order by distance, f) - 1 as rank from place{where}) where rank < {k}"
+_TOP = "select id as point_id, f as feature_idx, rank, px as x, py as y, distance, round(t, 9) as measure, case when distance = 0 then 'on' else side end as side from (select *, row_number() over (partition by id order by distance, f) - 1 as rank from one) where rank < {k}"
 
 
-@query(f"with {PLACES} " + _TOP.format(where="", k=1))
+@query("with " + PLACES.replace("{where}", "") + _TOP.format(k=1))
 def nearest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir)))
 
 
-@query(f"with {PLACES} " + _TOP.format(where="", k=4))
+@query("with " + PLACES.replace("{where}", "") + _TOP.format(k=4))
 def candidates_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=4)))
 
 
-@query(f"with {PLACES} " + _TOP.format(where=" where distance <= 0.4", k=16))
+@query("with " + PLACES.replace("{where}", " where distance <= 0.4") + _TOP.format(k=16))
 def candidates_max_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=16, max_distance=0.4)))
+    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=16, max_distance=0.4, search_limit=ALL)))
 
 
-@query(f"with {PLACES} " + _TOP.format(where=" where f in (20, 40, 101, 200, 201, 310)", k=2))
+@query("with " + PLACES.replace("{where}", " where f in (20, 40, 101, 200, 201, 310)") + _TOP.format(k=2))
 def candidates_feature_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=2, feature_ids=[20, 40, 101, 200, 201, 310])))
+    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=2, feature_ids=[20, 40, 101, 200, 201, 310], search_limit=ALL)))
 
 
-@query(f"with {PLACES} " + _TOP.format(where=" where f % 2 = 1", k=3))
+@query("with " + PLACES.replace("{where}", " where f % 2 = 1") + _TOP.format(k=3))
 def candidates_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=3, allowed=F.col("feature_idx") % 2 == 1)))
+    return _places(candidates(_plain(spark, sf_dir), way_points(spark, sf_dir), Snap(candidates=3, allowed=F.col("feature_idx") % 2 == 1, search_limit=ALL)))
 
 
 _VERTEX = """select id as point_id, v as key, round(sqrt(pow(x - v % 50, 2) + pow(y - v // 50, 2)), 9) as distance from pt, {table} where {cond} qualify row_number() over (partition by id order by round(sqrt(pow(x - v % 50, 2) + pow(y - v // 50, 2)), 9), v) = 1"""
@@ -378,14 +382,14 @@ def _nearest_key(graph: Graph, points: DataFrame, snap: Snap) -> DataFrame:
     return candidates(graph, points, snap).select("point_id", _part_key("x", "y").alias("key"), F.round("distance", 9).alias("distance"))
 
 
-@query(f"with {DEGREE}, {POINTS} select point_id, distance from ({_VERTEX.format(table='deg', cond='true')})")
+@query(f"with {DEGREE}, {POINTS} {_VERTEX.format(table='deg', cond='true')}")
 def nearest_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest_key(nw.grid(spark, sf_dir), way_points(spark, sf_dir), Snap("vertex")).select("point_id", "distance")
+    return _nearest_key(nw.grid(spark, sf_dir), way_points(spark, sf_dir), Snap("vertex"))
 
 
-@query(f"with {DEGREE}, {POINTS} select point_id, distance from ({_VERTEX.format(table='deg', cond='degree <> 2')})")
+@query(f"with {DEGREE}, {POINTS} {_VERTEX.format(table='deg', cond='degree <> 2')}")
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest_key(nw.grid(spark, sf_dir), way_points(spark, sf_dir), Snap("node")).select("point_id", "distance")
+    return _nearest_key(nw.grid(spark, sf_dir), way_points(spark, sf_dir), Snap("node"))
 
 
 @query(f"with {DEGREE} select p_partkey as point_id, p_partkey as key, 0.0::double as distance from part where p_partkey in (select v from deg)")
@@ -423,11 +427,17 @@ def sssp_max_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costs(_plain(spark, sf_dir), [0], 300.0).select(F.col("key").alias("part_key"), "cost")
 
 
-@query("with recursive " + SSSP.format(start="5::bigint", bound=" where r.c + e.cost <= 120") + " select v as part_key, c as cost from d")
+@query("with recursive " + SSSP.format(start="5::bigint", bound="") + " select v as part_key, c as cost from d")
 def sssp_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _plain(spark, sf_dir)
-    start = _from_key(g, [5]).select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"))
-    return relax(g.edges, start, 120.0).join(_node_keys(g), "node").select(F.col("key").alias("part_key"), "cost")
+    """Every cost from part 5 by joins alone, over the contracted network, then along its chains."""
+    g = nw.grid(spark, sf_dir)
+    at = _node_keys(g).filter("key = 5").select(F.col("node").alias("source"))
+    if at.isEmpty():
+        g = _plain(spark, sf_dir)
+        at = _node_keys(g).filter("key = 5").select(F.col("node").alias("source"))
+    best = relax(g.edges, at.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
+    inner = along_chains(g, best).join(g.vertices.withColumnRenamed("vertex", "node"), "node")
+    return inner.groupBy(_part_key("vx", "vy").alias("part_key")).agg(F.min("cost").alias("cost"))
 
 
 ORIGINS, DESTS = (0, 12, 57, 133), (5, 60, 118, 190, 199)
@@ -445,11 +455,11 @@ def _key_points(spark: SparkSession, keys: tuple[int, ...]) -> DataFrame:
     return spark.createDataFrame([(k, float(k % 50), float(k // 50)) for k in keys], "point_id long, x double, y double")
 
 
-def _pair_routes(spark: SparkSession, sf_dir: str, algorithm: str, compact: bool = True) -> DataFrame:
+def _pair_routes(spark: SparkSession, sf_dir: str, algorithm: str, compact: bool = True, graph: Graph | None = None) -> DataFrame:
     pairs = [(o, v) for o in ORIGINS for v in DESTS]
     rows = [(o * 1000 + v, i, float(k % 50), float(k // 50)) for o, v in pairs for i, k in enumerate((o, v))]
     stops = spark.createDataFrame(rows, "route_id long, wp_idx int, x double, y double")
-    g = nw.grid(spark, sf_dir, compact)
+    g = graph or nw.grid(spark, sf_dir, compact)
     out = routes(g, stops, RouteOptions(algorithm=algorithm, connectivity="nearest"))
     return out.select(F.floor(F.col("route_id") / 1000).alias("origin"), (F.col("route_id") % 1000).alias("dest"), F.coalesce("weight", F.lit(INF)).alias("cost"))
 
@@ -471,8 +481,7 @@ def route_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PAIR_COSTS)
 def route_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landmarks(nw.grid(spark, sf_dir), 4)
-    return _pair_routes(spark, sf_dir, "astar")
+    return _pair_routes(spark, sf_dir, "astar", graph=with_landmarks(nw.grid(spark, sf_dir), 4))
 
 
 @query(_PAIR_COSTS)
@@ -502,15 +511,26 @@ def landmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.filter(F.col("d_from") < INF).join(keys, "node").join(keys.withColumnsRenamed({"node": "landmark", "key": "landmark_key"}), "landmark").select(F.col("landmark_key").alias("landmark"), "key", "d_from")
 
 
-@query(f"with recursive {MULTI} select a.v as a, b.v as b, max(greatest(b.c - a.c, 0.0)) as bound from d a join d b on a.o = b.o where a.v < 20 and b.v < 20 group by a.v, b.v")
+BACK = """,
+back(o, v, c) using key (o, v) as (
+  select o, o as v, 0.0::double as c from (values """ + ", ".join(f"({o}::bigint)" for o in ORIGINS) + """) as t(o)
+  union
+  select * from (select r.o, e.src as v, min(r.c + e.cost) as c from back r join edge e on e.dst = r.v group by r.o, e.src) n
+  where n.c < coalesce((select k.c from recurring.back k where k.o = n.o and k.v = n.v), 'inf'::double))"""
+
+
+@query(f"""with recursive {MULTI}{BACK}, mark as (select o, v, d.c as f, coalesce(back.c, 'inf'::double) as t from d full join back using (o, v)),
+full_mark as (select m.o, k.v, coalesce(x.f, 'inf'::double) as f, coalesce(x.t, 'inf'::double) as t from (values (0), (12), (57), (133)) as m(o) cross join (select distinct src as v from edge union select dst from edge) k left join mark x on x.o = m.o and x.v = k.v)
+select a.v as a, b.v as b, max(greatest(case when a.f < 'inf'::double and b.f < 'inf'::double then b.f - a.f else 0.0 end, case when a.t < 'inf'::double and b.t < 'inf'::double then a.t - b.t else 0.0 end, 0.0)) as bound
+from full_mark a join full_mark b on a.o = b.o where a.v % 100 = 0 group by a.v, b.v""")
 def landmark_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds from every node with a key divisible by 100 to all nodes, by both triangle inequalities."""
     g = _plain(spark, sf_dir)
     keys = _node_keys(g)
     nodes = [r["source"] for r in _from_key(g, list(ORIGINS)).collect()]
-    table = landmarks(g, len(nodes), nodes).withColumn("d_to", F.lit(INF))
-    some = table.filter(F.col("d_from") < INF).join(keys, "node").filter("key < 20").select("landmark", F.col("key").alias("node"), "d_from", "d_to")
-    pairs = some.select("landmark", F.col("node").alias("a")).join(some.select("landmark", F.col("node").alias("b")), "landmark").select("a", "b").distinct()
-    return landmark_bounds(some, pairs)
+    table = landmarks(g, len(nodes), nodes).join(keys, "node").select("landmark", F.col("key").alias("node"), "d_from", "d_to")
+    pairs = keys.select(F.col("key").alias("b")).crossJoin(F.broadcast(keys.filter("key % 100 = 0").select(F.col("key").alias("a"))))
+    return landmark_bounds(table, pairs)
 
 
 # --- routes -------------------------------------------------------------------------------------------------------

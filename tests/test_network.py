@@ -111,10 +111,101 @@ def test_connected_choice_and_optimal_selection(spark):
     (r,) = ask(spark, g, [(2, 45), (20, 1)])
     assert r["ok"] and (r["waypoints"][0]["x"], r["waypoints"][0]["y"]) == (10, 10) and r["weight"] == 20
     cost = COST(F.col("length") * F.col("props.factor"), F.col("props.direction"))
-    corridor = features(spark, [[(0, 0), (100, 0)], [(40, 3.5), (60, 3.5)], [(40, 0), (40, 3.5)], [(60, 0), (60, 3.5)]], {1: 3.0})
-    g = build(corridor, Options(weight=cost, split_intersections=True))
-    (best,) = ask(spark, g, [(50, 2), (90, -1)], selection="optimal", cost_mode="ends")
-    assert best["weight"] == 43 and best["snap_weight"] == 3 and best["waypoints"][0]["rank"] == 1
+    corridor = features(spark, [[(0, 0), (100, 0)], [(0, 3.5), (100, 3.5)], [(0, 0), (0, 3.5)], [(100, 0), (100, 3.5)]], {1: 3.0})
+    g = build(corridor, Options(weight=cost))
+    ends = {"cost_mode": "ends", "include_snap_weight": True}
+    (best,) = ask(spark, g, [(50, 2), (90, -1)], selection="optimal", **ends)
+    first = best["waypoints"][0]
+    assert best["weight"] == 43 and best["snap_weight"] == 3 and best["network_weight"] == 40 and first["rank"] == 1 and first["relocation"] == 0.5 and first["feature_idx"] == 0
+    (back,) = ask(spark, g, [(90, -1), (50, 2)], selection="optimal", **ends)
+    assert back["weight"] == pytest.approx(43) and back["waypoints"][1]["feature_idx"] == 0
+    (near,) = ask(spark, g, [(50, 2), (90, -1)], **ends)
+    assert near["snap_weight"] == 2.5 and near["weight"] == near["network_weight"] + 2.5 > 43 and near["waypoints"][0]["feature_idx"] == 1
+    (plain,) = ask(spark, g, [(50, 2), (90, -1)], cost_mode="ends", connectors="ends", include_connector_distance=True)
+    assert plain["weight"] == near["network_weight"] and plain["distance"] == pytest.approx(plain["network_distance"] + 2.5) and tuple(plain["path"][0])[:2] == (50, 2)
+    (one,) = ask(spark, g, [(50, 2), (90, -1)], selection="optimal", snap=Snap(candidates=1))
+    assert one["waypoints"][0]["rank"] == 0
+
+
+def test_snap_connectivity_and_constraints(spark):
+    from spanwright.operators.route import routes as run
+
+    g = build(features(spark, [[(0, 0), (5, 0), (10, 0), (20, 0)], [(10, 0), (10, 10)], [(0, 50), (5, 50)]]))
+    (r,) = ask(spark, g, [(2, 45), (20, 1)], connectivity="nearest")
+    assert (r["ok"], r["reason"], r["failed_leg"]) == (False, "UNREACHABLE", 0)
+    (r,) = ask(spark, g, [(2, 45), (20, 1)], snap=Snap(max_distance=10))
+    assert (r["ok"], r["reason"]) == (False, "DISCONNECTED")
+    stops = spark.createDataFrame([(1, 0, 2.0, 45.0, 1), (1, 1, 20.0, 1.0, 0)], "route_id long, wp_idx int, x double, y double, only long")
+    (r,) = run(g, stops, RouteOptions(snap=Snap(allowed=F.col("feature_idx") == F.col("only")))).collect()
+    assert r["ok"] and [w["feature_idx"] for w in r["waypoints"]] == [1, 0]
+    places = stops.withColumn("point_id", F.col("wp_idx"))
+    assert [candidates(g, places, Snap(candidates=16, search_limit=n)).count() for n in (1, 2)] == [2, 4]
+    # the node (10, 0) is one place, whichever of its three segments is looked at
+    node = spark.createDataFrame([(0, 9.0, -1.0)], "point_id long, x double, y double")
+    assert sum((r["x"], r["y"]) == (10, 0) for r in candidates(g, node, Snap(candidates=16)).collect()) == 1
+
+
+def test_an_own_search_reaches_the_workers(spark, ladder):
+    from spanwright.operators.engine import dijkstra
+
+    def twice(net, sources, targets, **options):
+        found = dijkstra(net, sources, targets, **options)
+        found.settled *= 1000
+        return found
+
+    register("own", twice, replace=True)
+    (r,) = ask(spark, ladder, [(5, 1), (15, 9)], algorithm="own")
+    assert r["weight"] == 20 and r["settled"] >= 1000
+
+
+def floors(spark, lines):
+    """lines: (points, group, end group, cost or null)."""
+    rows = [(i, f"s:{i}", "LineString", [[(float(x), float(y), None) for x, y in pts]], (a, b, None if cost is None else float(cost))) for i, (pts, a, b, cost) in enumerate(lines)]
+    return spark.createDataFrame(rows, "feature_idx long, id string, geom_type string, parts array<array<struct<x:double,y:double,z:double>>>, props struct<a:string,b:string,cost:double>")
+
+
+def between(spark, graph, *stops):
+    rows = [(0, i, float(x), float(y), grp) for i, (x, y, grp) in enumerate(stops)]
+    waypoints = spark.createDataFrame(rows, "route_id long, wp_idx int, x double, y double, floor string")
+    return routes(graph, waypoints, RouteOptions(snap=Snap(group=F.col("floor")))).first()
+
+
+def test_tower(spark):
+    lines = [part for f in "123" for part in (([(0, 10), (20, 10)], f, f, None), ([(10, 0), (10, 20)], f, f, None))]
+    lines += [([(10, 10), (10, 10)], "1", "2", 4), ([(10, 10), (10, 10)], "2", "3", 4)]
+    levels = spark.createDataFrame([(f, float(f), 4.0 * (int(f) - 1)) for f in "123"], "group_key string, ordinal double, elevation double")
+    cost = F.coalesce(F.col("props.cost"), F.col("length"))
+    o = {"split_intersections": True, "weight": F.struct(cost.alias("forward"), cost.alias("backward")), "group": F.col("props.a"), "end_group": F.col("props.b"), "zero_weight": "free"}
+    g = build(floors(spark, lines), Options(**o, levels=levels))
+    r = between(spark, g, (2, 10, "1"), (10, 18, "3"))
+    assert r["weight"] == pytest.approx(24) and r["distance"] == pytest.approx(16) and r["level_changes"] == 2 and r["vertical_distance"] == pytest.approx(8)
+    assert r["levels"] == ["1", "1", "2", "3", "3"] and len(r["path"]) == 5 and [s["grp"] for s in r["sections"]] == ["1", None, None, "3"]
+    (t,) = r["transitions"]
+    assert (t["from_level"], t["to_level"], t["level_change"], t["start"], t["end"], t["distance"], t["weight"], len(t["feature_idx"])) == ("1", "3", 2, 1, 3, 0, pytest.approx(8), 2)
+    assert g.per_level == pytest.approx(4, rel=1e-5) and len(set(g.net().ordinals)) == 3
+    assert r["settled"] <= between(spark, build(floors(spark, lines), Options(**o)), (2, 10, "1"), (10, 18, "3"))["settled"]
+
+
+def test_rides_between_stops(spark):
+    from spanwright.operators.diagnostics import connector_ends, level_reachability, missing_ordinals
+    from spanwright.operators.levels import point_stops
+
+    levels = spark.createDataFrame([(f, float(f), None) for f in "1234"], "group_key string, ordinal double, elevation double")
+    lines = floors(spark, [([(0, 10), (10, 10), (20, 10)], f, f, None) for f in "1234"])
+    stops = spark.createDataFrame([(0, i, f, 10.0, 10.0, 5.0, 1.0, "both") for i, f in enumerate("1234")], "connector_idx int, stop_idx int, grp string, x double, y double, board_cost double, per_level_cost double, direction string")
+    express = build(lines, Options(group=F.col("props.a"), levels=levels, connectors=stops))
+    r = between(spark, express, (2, 10, "1"), (18, 10, "4"))
+    assert r["weight"] == pytest.approx(24) and r["level_changes"] == 3 and [s["grp"] for s in r["sections"]] == ["1", None, "4"]
+
+    lines = floors(spark, [([(0, 0), (10, 0)], f, f, None) for f in "13"])
+    lift = spark.createDataFrame([(0, 10.0, 0.0, ["1", "2", "3"], 30.0, 5.0, "both", 7)], "connector_idx int, x double, y double, groups array<string>, board_cost double, per_level_cost double, direction string, feature_idx long")
+    g = build(lines, Options(group=F.col("props.a"), levels=levels, connectors=point_stops(lift)))
+    r = between(spark, g, (0, 0, "1"), (0, 0, "3"))
+    assert r["weight"] == pytest.approx(60) and [(t["from_level"], t["to_level"], t["level_change"]) for t in r["transitions"]] == [("1", "3", 2)]
+    ends = connector_ends(g.segments.select(F.col("u").alias("a"), F.col("v").alias("b"), *(F.col(f"{n}{c}").alias(f"{k}{c}") for n, k in (("u", "a"), ("v", "b")) for c in ("x", "y", "_grp"))))
+    assert [tuple(r)[1:] for r in ends.collect()] == [(10, 0, "2")]
+    assert {r["grp"]: (r["reaches"], r["isolated"]) for r in level_reachability(g).collect()}["1"] == (["2", "3"], False)
+    assert [r["grp"] for r in missing_ordinals(g, levels.filter("group_key <> '3'")).collect()] == ["3"]
 
 
 def test_snapping(spark, ladder):
