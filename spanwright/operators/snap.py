@@ -105,10 +105,10 @@ def _nearest(graph: Graph, asked: DataFrame, targets: DataFrame, snap: Snap) ->
     box = targets.agg(F.count("*").alias("n"), F.min(F.least("ux", "vx")).alias("x0"), F.max(F.greatest("ux", "vx")).alias("x1"), F.min(F.least("uy", "vy")).alias("y0"), F.max(F.greatest("uy", "vy")).alias("y1"), F.avg(F.greatest(F.abs(F.col("ux") - F.col("vx")), F.abs(F.col("uy") - F.col("vy")))).alias("w")).first()
     if not box["n"]:
         return _shaped(asked.limit(0), targets.limit(0), graph, snap).drop("counts", "scanned", "scan_distance")
-    span = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9)
-    size = max(2 * box["w"], span / max(1.0, box["n"] ** 0.5), 1e-9)
-    if (snap.candidates or 1) > 1:
-        size *= 2
+    wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    span = max(wide, high, 1e-9)
+    # cells of about one segment each; more places need more of them
+    size = max(box["w"], (wide * high / box["n"]) ** 0.5, 1e-9) * (1 if (snap.candidates or 1) == 1 else 4)
     left, out = asked, None
     while True:
         last = size >= 2 * span
@@ -163,6 +163,10 @@ def _shaped(points: DataFrame, targets: DataFrame, graph: Graph, snap: Snap) ->
     hit = hit.filter(F.col("want").isNull() | (F.col("want") == F.col("grp")))
     order = ["distance", "feature_idx", "part", "seg_idx"]
     near = Window.partitionBy("point_id")
+    if (snap.candidates or 1) == 1 and snap.allowed is None:  # the first look decides
+        first = F.min_by(F.struct(*(c for c in hit.columns if c != "point_id")), F.struct(*order)).alias("m")
+        hit = hit.groupBy("point_id").agg(first).select("point_id", "m.*").withColumns({"counts": F.col("distance") <= float(snap.max_distance), "scanned": F.lit(snap.search_limit), "scan_distance": F.col("distance"), "rank": F.lit(0), "relocation": F.lit(0.0)})
+        return _kept(hit, points, snap)
     scan = F.row_number().over(near.orderBy(*order))
     hit = hit.withColumn("scan", scan).filter(F.col("scan") <= snap.search_limit).withColumns({"scanned": F.count("*").over(near), "scan_distance": F.max("distance").over(near)})
     fits = F.col("distance") <= float(snap.max_distance)
@@ -183,6 +187,10 @@ def _shaped(points: DataFrame, targets: DataFrame, graph: Graph, snap: Snap) ->
     hit = hit.withColumn("counts", F.col("counts") & (F.col("rank") < (snap.candidates or 1)) & (F.col("relocation") <= float(snap.max_relocation)))
     # a point without a place that counts keeps the row of its first look, which tells how far it looked
     hit = hit.filter(F.col("counts") | (F.col("scan") == 1))
+    return _kept(hit, points, snap)
+
+
+def _kept(hit: DataFrame, points: DataFrame, snap: Snap) -> DataFrame:
     keep = [c for c in points.columns if c not in ("i", "j")]
     extra = ["vertex"] if snap.mode != "edge" else []
     return hit.select(*keep, *extra, "counts", "scanned", "scan_distance", "rank", "distance", "relocation", "x", "y", "chain_id", "pos", "seg_id", "feature_idx", "part", "grp", "component", "side", "measure")

@@ -41,6 +41,23 @@ def grid_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features_from_segments(rows.withColumn("props", F.struct("factor", "direction", "row_id")))
 
 
+def braces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two short lines a part, which cross, touch and overlap those of its neighbours only: parts' lattice as in the grid.
+
+    Feature 2p is a rising diagonal for even sizes, else a level line of one and a half that overlaps the next one's;
+    2p + 1 is a falling diagonal for sizes that 3 does not divide, else an upright line.
+    """
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), (F.col("p_partkey") % WIDTH).cast("double").alias("x"), F.floor(F.col("p_partkey") / WIDTH).cast("double").alias("y"), F.col("p_size").alias("size"))
+    x, y, even, other = F.col("x"), F.col("y"), F.col("size") % 2 == 0, F.col("size") % 3 != 0
+
+    def line(n: int, straight: F.Column, one: tuple, two: tuple) -> F.Column:
+        at = [F.when(straight, a).otherwise(b) for a, b in zip(one, two, strict=True)]
+        return F.struct((F.col("p") * 2 + n).alias("feature_idx"), *(c.alias(k) for c, k in zip(at, ("ax", "ay", "bx", "by"), strict=True)))
+
+    both = F.array(line(0, even, (x, y, x + 1, y + 1), (x, y + 0.5, x + 1.5, y + 0.5)), line(1, other, (x + 1, y, x, y + 1), (x + 0.25, y, x + 0.25, y + 1)))
+    return part.select(F.explode(both).alias("l")).select("l.*", F.concat(F.lit("s:"), F.col("l.feature_idx").cast("string")).alias("id"))
+
+
 def grid(spark: SparkSession, sf_dir: str, compact: bool = True) -> Graph:
     """The grid's network, with costs of factor times length. Built once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir, f"grid{compact}")

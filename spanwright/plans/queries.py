@@ -584,33 +584,66 @@ def dangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.dangles(_trip_segments(spark, sf_dir)).select("x", "y", "feature_idx")
 
 
-CROSS = TRIPS + """,
+BRACES = """trip as (
+  select f, 0 as idx, ax, ay, bx, b_y, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) as length from (
+    select p_partkey * 2 as f, x as ax, case when p_size % 2 = 0 then y else y + 0.5 end as ay, case when p_size % 2 = 0 then x + 1 else x + 1.5 end as bx, case when p_size % 2 = 0 then y + 1 else y + 0.5 end as b_y
+    from (select *, (p_partkey % 50)::double as x, (p_partkey // 50)::double as y from part)
+    union all
+    select p_partkey * 2 + 1, case when p_size % 3 <> 0 then x + 1 else x + 0.25 end, y, case when p_size % 3 <> 0 then x else x + 0.25 end, y + 1
+    from (select *, (p_partkey % 50)::double as x, (p_partkey // 50)::double as y from part)))"""
+CROSS = BRACES + """,
 n as (select *, row_number() over (order by f, idx) as k from trip),
 hits as (select a.f as fa, b.f as fb, a.idx as ia, b.idx as ib, a.ax, a.ay, a.bx, a.b_y,
-  ((b.ax - a.ax) * (b.b_y - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / ((a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax))::double as t,
-  ((b.ax - a.ax) * (a.b_y - a.ay) - (b.ay - a.ay) * (a.bx - a.ax)) / ((a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax))::double as u
-  from n a join n b on a.k < b.k and (a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax) <> 0
-  where not ((a.ax = b.ax and a.ay = b.ay) or (a.ax = b.bx and a.ay = b.b_y) or (a.bx = b.ax and a.b_y = b.ay) or (a.bx = b.bx and a.b_y = b.b_y)))"""
+  ((b.ax - a.ax) * (b.b_y - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / ((a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax)) as t,
+  ((b.ax - a.ax) * (a.b_y - a.ay) - (b.ay - a.ay) * (a.bx - a.ax)) / ((a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax)) as u
+  from n a join n b on a.k < b.k and abs(a.ax - b.ax) <= 4 and abs(a.ay - b.ay) <= 4 and (a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax) <> 0
+  where not ((a.ax = b.ax and a.ay = b.ay) or (a.ax = b.bx and a.ay = b.b_y) or (a.bx = b.ax and a.b_y = b.ay) or (a.bx = b.bx and a.b_y = b.b_y))),
+met as (select *, round(ax + t * (bx - ax), 6) as x, round(ay + t * (b_y - ay), 6) as y from hits where t between 0 and 1 and u between 0 and 1)"""
 
 
-@query(f"with {CROSS} select fa as feature_a, ia as seg_a, fb as feature_b, ib as seg_b, round(ax + t * (bx - ax), 6) as x, round(ay + t * (b_y - ay), 6) as y from hits where t between 0 and 1 and u between 0 and 1")
+def _brace_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanwright.sources.geojson import features_from_segments
+
+    rows = nw.braces(spark, sf_dir).withColumn("props", F.lit(None).cast("string"))
+    return tp.segments(tp.exact_vertices(tp.coordinates(features_from_segments(rows))), Metric())
+
+
+@query(f"with {CROSS} select fa as feature_a, ia::bigint as seg_a, fb as feature_b, ib::bigint as seg_b, x, y from met")
 def intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repair.intersections(_trip_segments(spark, sf_dir))
+    return _meetings(_brace_segments(spark, sf_dir))
+
+
+def _meetings(segs: DataFrame) -> DataFrame:
+    found = repair.intersections(segs)
     return found.select(F.col("feature_idx1").alias("feature_a"), F.col("sid1.seg_idx").cast("long").alias("seg_a"), F.col("feature_idx2").alias("feature_b"), F.col("sid2.seg_idx").cast("long").alias("seg_b"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+@query(f"with {CROSS}, cut as (select fa as f, x, y from met where t > 0 and t < 1 union select fb, x, y from met where u > 0 and u < 1) select t.f as feature_idx, 1 + (select count(*) from cut c where c.f = t.f) as pieces, round(t.length, 6) as length from trip t")
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs, _ = repair.split_intersections(_trip_segments(spark, sf_dir), Metric())
-    return segs.groupBy("feature_idx").agg(F.count("*").alias("pieces"), F.round(F.sum("length"), 6).alias("length"))
+    return _pieces(_brace_segments(spark, sf_dir))
 
 
-@query("with " + TRIPS + """, n as (select *, row_number() over (order by f, idx) as k from trip),
+def _pieces(segs: DataFrame) -> DataFrame:
+    out, _ = repair.split_intersections(segs, Metric())
+    return out.groupBy("feature_idx").agg(F.count("*").alias("pieces"), F.round(F.sum("length"), 6).alias("length"))
+
+
+@query(f"with {CROSS} select 'split' as kind, count(*) as repairs from met")
+def repairs_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, log = repair.split_intersections(_brace_segments(spark, sf_dir), Metric())
+    return log.groupBy("kind").agg(F.count("*").alias("repairs"))
+
+
+@query("with " + BRACES + """, n as (select *, row_number() over (order by f, idx) as k from trip),
 p as (select a.f as fa, a.idx as ia, b.f as fb, b.idx as ib, a.length as n, ((b.ax - a.ax) * (a.bx - a.ax) + (b.ay - a.ay) * (a.b_y - a.ay)) / a.length as s, ((b.bx - a.ax) * (a.bx - a.ax) + (b.b_y - a.ay) * (a.b_y - a.ay)) / a.length as e
-  from n a join n b on a.k < b.k where (a.bx - a.ax) * (b.ay - a.ay) = (a.b_y - a.ay) * (b.ax - a.ax) and (a.bx - a.ax) * (b.b_y - a.ay) = (a.b_y - a.ay) * (b.bx - a.ax))
-select fa as feature_a, ia as seg_a, fb as feature_b, ib as seg_b, round(least(n, greatest(s, e)) - greatest(0.0, least(s, e)), 6) as length from p where least(n, greatest(s, e)) - greatest(0.0, least(s, e)) > 1e-9""")
+  from n a join n b on a.k < b.k and abs(a.ax - b.ax) <= 4 and abs(a.ay - b.ay) <= 4 where (a.bx - a.ax) * (b.ay - a.ay) = (a.b_y - a.ay) * (b.ax - a.ax) and (a.bx - a.ax) * (b.b_y - a.ay) = (a.b_y - a.ay) * (b.bx - a.ax))
+select fa as feature_a, ia::bigint as seg_a, fb as feature_b, ib::bigint as seg_b, round(least(n, greatest(s, e)) - greatest(0.0, least(s, e)), 6) as length from p where least(n, greatest(s, e)) - greatest(0.0, least(s, e)) > 1e-9""")
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dg.overlaps(_trip_segments(spark, sf_dir))
+    return _shared(_brace_segments(spark, sf_dir))
+
+
+def _shared(segs: DataFrame) -> DataFrame:
+    found = dg.overlaps(segs)
     return found.select("feature_a", F.col("seg_a").cast("long").alias("seg_a"), "feature_b", F.col("seg_b").cast("long").alias("seg_b"), F.round("length", 6).alias("length"))
 
 

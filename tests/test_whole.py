@@ -60,7 +60,7 @@ def test_dangles_of_all_orders(spark, trips):
 
 def test_crossings_of_all_orders(spark, trips):
     known = {(*m, *n): (float(x), float(y)) for (m, n), (_, _, (x, y)) in crossings().items()}
-    found = {tuple(r)[:4]: tuple(r)[4:] for r in q.intersections(spark, trips).collect()}
+    found = {tuple(r)[:4]: tuple(r)[4:] for r in q._meetings(q._trip_segments(spark, trips)).collect()}
     assert found.keys() == known.keys() and len(known) > 20
     assert all(found[k] == pytest.approx(known[k], abs=1e-6) for k in known)
 
@@ -70,7 +70,7 @@ def test_pieces_of_all_orders(spark, trips):
     for (m, n), (t, u, place) in crossings().items():
         for s, at in ((m, t), (n, u)):
             cuts[s] |= {place} if 0 < at < 1 else set()
-    found = {r["feature_idx"]: (r["pieces"], r["length"]) for r in q.split_segments(spark, trips).collect()}
+    found = {r["feature_idx"]: (r["pieces"], r["length"]) for r in q._pieces(q._trip_segments(spark, trips)).collect()}
     assert found.keys() == ORDERS.keys()
     for key in ORDERS:
         mine = {s: ends for s, ends in legs().items() if s[0] == key}
@@ -85,7 +85,7 @@ def test_overlaps_of_all_orders(spark, trips):
             s, e = sorted(((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / math.dist(a, b) for p in (c, d))
             if min(math.dist(a, b), e) - max(0.0, s) > 1e-9:
                 known[*m, *n] = min(math.dist(a, b), e) - max(0.0, s)
-    found = {tuple(r)[:4]: r["length"] for r in q.overlaps(spark, trips).collect()}
+    found = {tuple(r)[:4]: r["length"] for r in q._shared(q._trip_segments(spark, trips)).collect()}
     assert found.keys() == known.keys() and (11, 1, 12, 0) in known
     assert all(found[k] == pytest.approx(known[k], abs=1e-6) for k in known)
 
@@ -117,7 +117,13 @@ def snapped(k, allowed=lambda f: True, limit=math.inf):
     """(event, feature, rank, distance) of each event's nearest segments, all of them tried."""
     out = []
     for i, (x, y) in spots().items():
-        near = sorted((round(math.dist((x, y), (min(max(x, a[0]), b[0]), min(max(y, a[1]), b[1]))), 9), f) for f, (a, b) in streets().items() if allowed(f))
+        feet = {f: (min(max(x, a[0]), b[0]), min(max(y, a[1]), b[1])) for f, (a, b) in streets().items() if allowed(f)}
+        near, seen = [], set()
+        for d, f in sorted((round(math.dist((x, y), p), 9), f) for f, p in feet.items()):
+            at = feet[f] if feet[f] in streets()[f] else f  # at a node its segments give one place
+            if at not in seen:
+                seen.add(at)
+                near.append((d, f))
         out += [(i, f, n, d) for n, (d, f) in enumerate([m for m in near if m[0] <= limit][:k])]
     return sorted(out)
 
@@ -132,7 +138,7 @@ def test_vertices_of_all_events(spark, stops):
     ends = [p for two in streets().values() for p in two]
     for name, of in (("nearest_vertex", set(ends)), ("nearest_node", {p for p in ends if ends.count(p) != 2})):
         known = {i: round(min(math.dist(at, p) for p in of), 9) for i, at in spots().items()}
-        assert dict(map(tuple, q.QUERIES[name](spark, stops).collect())) == known
+        assert {r["point_id"]: r["distance"] for r in q.QUERIES[name](spark, stops).collect()} == known
 
 
 def test_tours_of_all_events(spark, stops):
