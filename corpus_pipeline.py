@@ -43,7 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = near_dedup.near_duplicates(docs, 5, 80).filter("doc_id is not null")
     told = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     once = docs.join(told.filter("n > 1 or not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    several = docs.join(told.filter("n > 1 and kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = settled(told.filter("n > 1 and kept").select("doc_id"))
+    if repeated.isEmpty():  # the usual case needs no second look at the texts
+        return once
+    several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)
     return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
