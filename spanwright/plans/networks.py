@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +60,15 @@ def braces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.explode(both).alias("l")).select("l.*", F.concat(F.lit("s:"), F.col("l.feature_idx").cast("string")).alias("id"))
 
 
-def grid(spark: SparkSession, sf_dir: str, compact: bool = True) -> Graph:
-    """The grid's network, with costs of factor times length. Built once in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"grid{compact}")
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Graph]) -> Graph:
+    """A network of that name, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
-        cost = weights.directional(F.col("length") * F.col("props.factor"), F.col("props.direction"))
-        _built[key] = build(grid_features(spark, sf_dir), Options(weight=cost, compact=compact))
+        _built[key] = make()
     return _built[key]
+
+
+def grid(spark: SparkSession, sf_dir: str, compact: bool = True) -> Graph:
+    """The grid's network, with costs of factor times length."""
+    cost = weights.directional(F.col("length") * F.col("props.factor"), F.col("props.direction"))
+    return kept(spark, sf_dir, f"grid{compact}", lambda: build(grid_features(spark, sf_dir), Options(weight=cost, compact=compact)))

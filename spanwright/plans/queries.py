@@ -22,7 +22,7 @@ from spanwright.operators.route import RouteOptions, matrix, one_to_many, routes
 from spanwright.operators.search import along_chains, costs_from, landmark_bounds, landmarks, relax, strong_labels, with_landmarks
 from spanwright.operators.snap import Snap, candidates
 from spanwright.plans import networks as nw
-from spanwright.plans.graph import Graph
+from spanwright.plans.graph import Graph, Options, build
 from spanwright.plans.materialise import settled
 from spanwright.sources.geojson import line_string
 
@@ -308,7 +308,8 @@ def component_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.component_boxes(g).join(least, "component").select(F.col("least").alias("component"), "min_x", "min_y", "max_x", "max_y")
 
 
-@query()
+@query(f"""with recursive {ALIVE}, reach as (select distinct src as s, src as t from (select src from edge union select dst from edge) union select r.s, e.dst from reach r join edge e on e.src = r.t)
+select a.s as key, min(a.t) as component from reach a join reach b on a.s = b.t and a.t = b.s group by a.s""")
 def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _plain(spark, sf_dir)
     labels = strong_labels(g)
@@ -655,12 +656,15 @@ def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.segments(tp.exact_vertices(tp.coordinates(features_from_segments(rows.withColumn("props", F.lit(None).cast("string"))))), Metric())
 
 
-@query(f"with {SEG}, ends as (select ax::double as x, ay + 0.25 as y, a * 2 + 1 as f from seg where kind = 1 union all select bx, b_y - 0.25, a * 2 + 1 from seg where kind = 1), tips as (select x::double as x, y::double as y, min(f) as f from (select ax as x, ay as y, a * 2 as f from seg where kind = 0 union all select bx, b_y, a * 2 from seg where kind = 0) group by 1, 2 having count(*) = 1) select x, y, f as feature_a, 0.25::double as gap from ends where exists (select 1 from seg s where s.kind = 0 and (s.ax = x or s.bx = x) and (s.ay = y - 0.25 or s.ay = y + 0.25)) union all select x, y, f, 0.25::double from tips where exists (select 1 from seg s where s.kind = 1 and s.ax = x and (s.ay = y or s.b_y = y))")
+NEAR = f"with {SEG}, ends as (select ax::double as x, ay + 0.25 as y, a * 2 + 1 as f from seg where kind = 1 union all select bx, b_y - 0.25, a * 2 + 1 from seg where kind = 1), tips as (select x::double as x, y::double as y, min(f) as f from (select ax as x, ay as y, a * 2 as f from seg where kind = 0 union all select bx, b_y, a * 2 from seg where kind = 0) group by 1, 2 having count(*) = 1) select x, y, f as feature_a, 0.25::double as gap from ends where exists (select 1 from seg s where s.kind = 0 and (s.ax = x or s.bx = x) and (s.ay = y - 0.25 or s.ay = y + 0.25)) union all select x, y, f, 0.25::double from tips where exists (select 1 from seg s where s.kind = 1 and s.ax = x and (s.ay = y or s.b_y = y))"
+
+
+@query(NEAR)
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.near_misses(_gapped(spark, sf_dir), Metric(), 0.3).select("x", "y", "feature_a", F.round("gap", 9).alias("gap"))
 
 
-@query()
+@query(f"select 'dangle' as kind, count(*) as moves, round(sum(gap), 6) as gap from ({NEAR})")
 def snap_dangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs, log = repair.snap_dangles(_gapped(spark, sf_dir), Metric(), 0.3)
     return log.groupBy("kind").agg(F.count("*").alias("moves"), F.round(F.sum("gap"), 6).alias("gap"))
@@ -734,3 +738,61 @@ def level_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_STEPS} select r as route_id, coalesce(sum(dz), 0.0) as vertical_distance from (select r, abs(z - lag(z) over (partition by r order by seq)) as dz from st) group by r")
 def vertical_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lv.vertical_distance(_steps(spark, sf_dir))
+
+
+# Storeys of the levels' queries: each region's key is a level; a lift serves all, and one level has nothing but its stop.
+FLOORS = "floors as (select r_regionkey as o from region where r_regionkey <> 2)"
+
+
+def _building(spark: SparkSession, sf_dir: str) -> Graph:
+    """A corridor of ten units on each region's level but 2, and a lift at its end that stops at every level."""
+    region = nw.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("o"))
+    grp = F.col("o").cast("string")
+    at = [F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y"), F.lit(None).cast("double").alias("z")) for x in (0, 10)]
+    lines = region.filter("o <> 2").select(F.col("o").alias("feature_idx"), F.concat(F.lit("n:"), grp).alias("id"), F.lit("LineString").alias("geom_type"), F.array(F.array(*at)).alias("parts"), F.struct(grp.alias("floor")).alias("props"))
+    levels = region.select(grp.alias("group_key"), F.when(F.col("o") != 4, F.col("o").cast("double")).alias("ordinal"), (F.col("o") * 4.0).alias("elevation"))
+    stops = region.select(F.lit(0).alias("connector_idx"), F.col("o").alias("stop_idx"), grp.alias("grp"), F.lit(10.0).alias("x"), F.lit(0.0).alias("y"), F.lit(8.0).alias("board_cost"), F.lit(0.0).alias("per_level_cost"), F.lit("both").alias("direction"))
+    return nw.kept(spark, sf_dir, "building", lambda: build(lines, Options(group=F.col("props.floor"), levels=levels, connectors=stops)))
+
+
+@query("select r_regionkey::varchar as grp, (select count(*) from region) - 1 as reaches, false as isolated from region")
+def level_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dg.level_reachability(_building(spark, sf_dir)).select("grp", F.size("reaches").cast("long").alias("reaches"), "isolated")
+
+
+@query("select '4' as grp from region where r_regionkey = 4")
+def missing_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _building(spark, sf_dir)
+    return dg.missing_ordinals(g, g.levels)
+
+
+@query("select 10.0::double as x, 0.0::double as y, '2' as grp from region where r_regionkey = 2")
+def connector_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = _building(spark, sf_dir).segments
+    ends = segs.select(F.col("u").alias("a"), F.col("v").alias("b"), *(F.col(f"{n}{c}").alias(f"{k}{c}") for n, k in (("u", "a"), ("v", "b")) for c in ("x", "y", "_grp")))
+    return dg.connector_ends(ends).select("x", "y", "grp")
+
+
+@query(f"with {FLOORS} select (a.o * 10 + b.o)::bigint as route_id, 28.0::double as weight, 20.0::double as distance, case when a.o = 4 or b.o = 4 then 0.0 else abs(a.o - b.o) end::double as level_changes, abs(a.o - b.o) * 4.0::double as vertical_distance, 1::bigint as rides from floors a join floors b on a.o <> b.o")
+def route_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every corridor's far end to every other's: one ride each."""
+    g = _building(spark, sf_dir)
+    o = g.vertices.filter("vx = 0").select(F.col("grp").cast("long").alias("o"))
+    pairs = o.toDF("a").join(o.toDF("b"), F.col("a") != F.col("b"))
+    stops = pairs.select((F.col("a") * 10 + F.col("b")).alias("route_id"), F.posexplode(F.array("a", "b")).alias("wp_idx", "floor"))
+    points = stops.select("route_id", "wp_idx", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("floor").cast("string").alias("floor"))
+    out = routes(g, points, RouteOptions(snap=Snap(group=F.col("floor"))))
+    return out.select("route_id", "weight", "distance", "level_changes", "vertical_distance", F.size("transitions").cast("long").alias("rides"))
+
+
+@query("select r_regionkey::varchar as grp, r_regionkey * 4.0::double as elevation from region")
+def elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = _building(spark, sf_dir).segments
+    ends = segs.select(F.explode(F.array(*(F.struct(F.col(f"{k}_grp").alias("grp"), F.col(f"{k}_elevation").alias("elevation")) for k in "uv"))).alias("e"))
+    return ends.select("e.*").distinct()
+
+
+@query(f"with {SEG} select a * 2 + kind as feature_idx, (select count(*) from seg) as total, true as truncated from seg order by feature_idx limit 100")
+def limited_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's first hundred rows with the total."""
+    return dg.limited(nw.grid_rows(spark, sf_dir).select("feature_idx"), ["feature_idx"], 100)

@@ -25,8 +25,11 @@ def read_features(spark: SparkSession, path: str, props_schema: T.StructType | N
     parsed = rows.select("file", "at", *(F.get_json_object("json", f"$.{k}").alias(n) for k, n in (("id", "raw_id"), ("properties.id", "prop_id"), ("geometry.type", "geom_type"), ("geometry.coordinates", "coordinates"), ("properties", "props"))), "json")
     line, lines = (F.from_json("coordinates", t) for t in ("array<array<double>>", "array<array<array<double>>>"))
     parts = F.when(F.col("geom_type") == "LineString", F.array(line)).when(F.col("geom_type") == "MultiLineString", lines)
-    numeric = F.col("json").rlike(r'"id"\s*:\s*-?[0-9]')
+    # the type of the feature's own id, else of its property: a string is quoted in the JSON text of the object's field
     key = F.coalesce("raw_id", "prop_id")
+    where = F.when(F.col("raw_id").isNotNull(), F.col("json")).otherwise(F.col("props"))
+    kinds = F.from_json(where, "map<string,variant>")
+    numeric = F.schema_of_variant(F.element_at(kinds, "id")).rlike("BIGINT|DOUBLE|DECIMAL|FLOAT")
     props = F.from_json("props", props_schema) if props_schema is not None else F.col("props")
     point = F.when(F.col("geom_type") == "Point", position(F.from_json("coordinates", "array<double>")))
     out = parsed.select("file", "at", F.concat(F.when(numeric, "n:").otherwise("s:"), key).alias("id"), "geom_type", F.transform(parts, lambda part: F.transform(part, position)).alias("parts"), point.alias("point"), props.alias("props"))
