@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanwright.operators.engine import Anchor, Engine, Leg, Net, connect, engine, partial_cost
 from spanwright.operators.snap import Snap, candidates
 from spanwright.plans.graph import Graph
+from spanwright.plans.materialise import settled
 
 INF = math.inf
 
@@ -81,11 +82,12 @@ def routes(graph: Graph, waypoints: DataFrame, options: RouteOptions | None = No
     points = waypoints.withColumns(own).withColumn("point_id", F.struct("route_id", "wp_idx"))
     good = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     snap = o.snap
-    if o.selection == "nearest" and o.connectivity != "nearest" and snap.mode != "exact":
-        snap = replace(snap, candidates=16, distinct_by="component")
-    elif o.selection == "optimal" and snap.candidates is None:
+    if o.selection == "optimal" and snap.candidates is None:
         snap = replace(snap, candidates=4)
-    found = candidates(graph, good, snap)
+    if o.selection == "optimal" or o.connectivity == "nearest" or snap.mode == "exact":
+        found = candidates(graph, good, snap)
+    else:
+        found = _shared(graph, good, snap)
     fields = ["rank", "distance", "x", "y", "chain_id", "pos", "component", "grp", "feature_idx"]
     listed = found.groupBy("route_id", "wp_idx").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("places"))
     stops = points.select("route_id", "wp_idx", F.col("x").alias("px"), F.col("y").alias("py")).join(listed, ["route_id", "wp_idx"], "left")
@@ -96,6 +98,17 @@ def routes(graph: Graph, waypoints: DataFrame, options: RouteOptions | None = No
     return plans.mapInPandas(_planner(graph.shared_net(), plain, graph.metric), ROUTE)
 
 
+def _shared(graph: Graph, points: DataFrame, snap: Snap) -> DataFrame:
+    """Nearest places; those of routes on which they lie in different components go on to one place a component."""
+    nearest = settled(candidates(graph, points, replace(snap, candidates=1)))
+    apart = nearest.groupBy("route_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("route_id")
+    apart = settled(apart)
+    if apart.isEmpty():
+        return nearest
+    more = candidates(graph, points.join(apart, "route_id", "left_semi"), replace(snap, candidates=16, distinct_by="component"))
+    return nearest.join(apart, "route_id", "left_anti").unionByName(more)
+
+
 def _planner(shared, o: RouteOptions, metric):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

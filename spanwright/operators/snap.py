@@ -108,7 +108,7 @@ def _nearest(graph: Graph, asked: DataFrame, targets: DataFrame, snap: Snap) ->
     wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
     span = max(wide, high, 1e-9)
     # cells of about one segment each; more places need more of them
-    size = max(box["w"], (wide * high / box["n"]) ** 0.5, 1e-9) * (1 if (snap.candidates or 1) == 1 else 4)
+    size = max(box["w"], (wide * high / box["n"]) ** 0.5, 1e-9) * (1 if (snap.candidates or 1) == 1 else 2 if snap.candidates <= 4 else 4)
     left, out = asked, None
     while True:
         last = size >= 2 * span

@@ -544,9 +544,17 @@ def _tours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts.select(F.col("user_id").alias("route_id"), (F.row_number().over(order) - 1).alias("wp_idx"), "x", "y")
 
 
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A route from each event's place to that of the user's next one, named by the later event."""
+    order = Window.partitionBy("user_id").orderBy("ts", "point_id")
+    before = way_points(spark, sf_dir).withColumns({"x0": F.lag("x").over(order), "y0": F.lag("y").over(order)}).filter("x0 is not null")
+    ends = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct("x", "y"))
+    return before.select(F.col("point_id").alias("route_id"), F.posexplode(ends).alias("wp_idx", "p")).select("route_id", "wp_idx", "p.x", "p.y")
+
+
 @query()
 def route_legs_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes(nw.grid(spark, sf_dir), _tours(spark, sf_dir)).select("route_id", "ok", "reason", "weight", "distance", F.size("legs").alias("n_legs"), F.size("path").alias("n_points"))
+    return routes(nw.grid(spark, sf_dir), _trips(spark, sf_dir)).select("route_id", "ok", "reason", "weight", "distance", F.size("legs").alias("n_legs"), F.size("path").alias("n_points"))
 
 
 @query()
@@ -561,19 +569,19 @@ def route_straight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def route_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = routes(nw.grid(spark, sf_dir), _tours(spark, sf_dir), RouteOptions(sections_detail="measure"))
+    out = routes(nw.grid(spark, sf_dir), _trips(spark, sf_dir), RouteOptions(sections_detail="measure"))
     return out.filter("ok").select("route_id", F.explode("sections").alias("s")).select("route_id", "s.*")
 
 
 @query()
 def optimal_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = RouteOptions(selection="optimal", cost_mode="ends", snap_cost=2.0)
-    return routes(nw.grid(spark, sf_dir), _tours(spark, sf_dir), o).select("route_id", "ok", "weight", "snap_weight")
+    return routes(nw.grid(spark, sf_dir), _trips(spark, sf_dir), o).select("route_id", "ok", "weight", "snap_weight")
 
 
 @query()
 def geojson_linestring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = routes(nw.grid(spark, sf_dir), _tours(spark, sf_dir))
+    out = routes(nw.grid(spark, sf_dir), _trips(spark, sf_dir))
     return out.select("route_id", line_string(F.col("path"), weight=F.col("weight")).alias("geojson"))
 
 
