@@ -132,3 +132,18 @@ def test_the_smaller_side_tells_what_is_not_reached():
     net = Net(np.arange(n), offset, (src - 1)[order], np.ones(len(src)), np.zeros(len(src), int), np.zeros(n, int), np.zeros((n, 2)))
     assert 0 < apart(net, {1000}, {1001}) < 10 and not apart(net, {1000}, {0}) and apart(net, {0}, {5})
     assert not apart(replace(net, cut=frozenset({0, 1001, 5})), {0}, {5})
+
+
+def test_the_sides_stay_near():
+    """Two nodes side by side in a long strip: what lies far off is not looked at."""
+    n, looked = 2000, set()
+    links = sorted({(a, b) for i in range(n) for a, b in ((i, i + 2), (i + 2, i), (i, i ^ 1)) if max(a, b) < n})
+    src, to = np.array(links).T
+    net = Net(np.arange(n), np.searchsorted(src, np.arange(n + 1)), to, np.ones(len(src)), np.zeros(len(src), int), np.zeros(n, int), np.zeros((n, 2)))
+
+    class Seen(frozenset):
+        def __contains__(self, node):
+            looked.add(node)
+            return False
+
+    assert not apart(replace(net, cut=Seen()), {1000}, {1007}) and len(looked) < 40
