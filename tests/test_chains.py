@@ -58,3 +58,37 @@ def test_totals_of_a_chain_longer_than_a_run(spark, monkeypatch):
     monkeypatch.setattr(ch, "RUN", 7)
     rows = spark.range(40).select(F.lit(3).cast("long").alias("chain_id"), F.lit(0).cast("long").alias("from_node"), F.lit(9).cast("long").alias("to_node"), F.col("id").alias("pos"), F.lit(2.0).alias("cost_along"), F.lit(float("inf")).alias("cost_against"), F.lit(0.5).alias("length"))
     assert [tuple(r) for r in ch.chain_totals(rows).collect()] == [(3, 0, 9, 40, 80.0, float("inf"), 20.0)]
+
+
+def test_cells_leave_little_to_joins(spark, monkeypatch):
+    """Over the bound, chains and components inside of a cell take no joins, and those across cells are the same."""
+    pairs = [(i, i + 1) for i in range(150) if i % 10 < 8] + [(i, i + 10) for i in range(0, 140, 20)]
+    segs = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "seg_id long, a long, b long").withColumn("alive", F.lit(True))
+    columns = ["seg_id", "chain_id", "pos", "reversed", "from_node", "to_node"]
+    links = segs.select("a", "b")
+    one, joined = sorted(map(tuple, ch.chains(segs).select(*columns).collect())), sorted(map(tuple, components(links).collect()))
+
+    def fail(*_):
+        raise AssertionError("joined with itself")
+
+    monkeypatch.setattr(ch, "_walked", fail)
+    monkeypatch.setattr("spanwright.operators.components._rooted", fail)
+    assert sorted(map(tuple, ch.chains(segs, task_segments=100).select(*columns).collect())) == one
+    assert sorted(map(tuple, components(links, 100).collect())) == joined
+
+
+def test_merges_take_no_call_a_cluster(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    from spanwright.functions.geometry import Metric
+    from spanwright.operators import topology as tp
+    from tests.test_network import features
+
+    def fail(*_):
+        raise AssertionError("a call for each cluster")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", fail)
+    lines = [[(0, 0), (10, 0)], [(10.2, 0), (20, 0)], [(10.1, -0.1), (10, 5)], [(19.9, 0.1), (30, 0)]]
+    placed, log = tp.merged_vertices(tp.coordinates(features(spark, lines)), Metric(), 0.5)
+    assert {(r["feature_idx"], r["idx"], r["vx"], r["vy"]) for r in placed.collect()} == {(0, 0, 0.0, 0.0), (0, 1, 10.0, 0.0), (1, 0, 10.0, 0.0), (1, 1, 20.0, 0.0), (2, 0, 10.0, 0.0), (2, 1, 10.0, 5.0), (3, 0, 20.0, 0.0), (3, 1, 30.0, 0.0)}
+    assert log.count() == 3
