@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwright.functions.geometry import Metric
-from spanwright.operators import topology
+from spanwright.operators import repair, topology
 from spanwright.plans import queries as q
 from tests.test_network import features
 from tests.test_whole import trips  # noqa: F401
@@ -30,8 +30,18 @@ def test_keyed_vertices_make_the_same_segments(spark, groups):
     assert [k[:4] for k in known] == [(0, 0, 0, 0), (0, 0, 2, 0), (1, 0, 0, 0), (1, 0, 1, 0), (2, 0, 2, 1), (2, 0, 6, 3), (3, 0, 1, 1), (4, 0, 0, 0)]
 
 
-@pytest.mark.parametrize(("name", "shuffles"), [("part_runs", 1), ("measures_running", 1)])
+@pytest.mark.parametrize(("name", "shuffles"), [("part_runs", 1), ("measures_running", 1), ("dangles", 2)])
 def test_trips_stay_in_their_lines(spark, trips, monkeypatch, name, shuffles):  # noqa: F811
     monkeypatch.setattr(topology, "with_rank", None)
     out = q.QUERIES[name](spark, trips)
     assert out.count() and out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == shuffles
+
+
+def test_loose_ends_tell_their_own_columns(spark):
+    segs = topology.segments(topology.exact_vertices(topology.coordinates(features(spark, [[(0, 0, 3), (1, 0)], [(1, 0), (2, 0, 4)], [(5, 5), (6, 5), (6, 6), (5, 5)]]))), Metric())
+    ends = repair.loose_ends(segs)
+    told = {(r["x"], r["y"], r["z"], r["grp"], r["feature_idx"]) for r in ends.collect()}
+    assert told == {(0.0, 0.0, 3.0, "", 0), (2.0, 0.0, 4.0, "", 1)} and {r["other"] for r in ends.collect()} == {1}
+    # one look at the segments, and partial sums kept in place
+    plan = ends.select("x", "y", "feature_idx")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "SortAggregate" not in plan
