@@ -45,3 +45,29 @@ def test_loose_ends_tell_their_own_columns(spark):
     # one look at the segments, and partial sums kept in place
     plan = ends.select("x", "y", "feature_idx")._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan and "SortAggregate" not in plan
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("parts"))
+    spark.createDataFrame([(p, 1 + p * 7 % 11) for p in range(120)], "p_partkey long, p_size int").write.parquet(f"{path}/part.parquet")
+    return path
+
+
+def test_the_log_cuts_nothing(spark, parts, monkeypatch):
+    _, known = repair.split_intersections(q._brace_segments(spark, parts, topology.exact_vertices), Metric())
+    log = {tuple(r) for r in known.collect()}
+    for module, name in ((repair, "_applied"), (repair, "settled"), (topology, "with_rank")):
+        monkeypatch.setattr(module, name, None)
+    assert q.repairs_log(spark, parts).first()["repairs"] == known.count() == len(log) > 50
+    assert {tuple(r) for r in repair.split_log(q._brace_segments(spark, parts)).collect()} == log
+
+
+def test_pairs_are_looked_at_in_one_cell(spark):
+    """Long lines among short ones share many cells; the join's condition holds no fractions, which come after it."""
+    lines = [[(0, 0), (40, 40)], [(0, 40), (40, 0)], [(1, 0), (41, 38)]] + [[(i, 20), (i, 21)] for i in range(40)]
+    found = repair.intersections(topology.segments(topology.exact_vertices(topology.coordinates(features(spark, lines))), Metric()))
+    pairs = [(r["feature_idx1"], r["feature_idx2"]) for r in found.collect()]
+    assert sorted(pairs) == [(0, 1), (0, 23), (0, 24), (1, 2), (1, 22), (1, 23), (2, 26)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and all(" / " not in line for line in plan.splitlines() if "Join" in line)
