@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright.functions.geometry import Metric
 from spanwright.operators import repair, topology
+from spanwright.plans import materialise
 from spanwright.plans import queries as q
 from tests.test_network import features
 from tests.test_whole import trips  # noqa: F401
@@ -71,3 +72,51 @@ def test_pairs_are_looked_at_in_one_cell(spark):
     assert sorted(pairs) == [(0, 1), (0, 23), (0, 24), (1, 2), (1, 22), (1, 23), (2, 26)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and all(" / " not in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_rows_of_cells_are_not_broadcast(spark, parts):
+    plan = repair.intersections(q._brace_segments(spark, parts))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pieces_without_ranks_or_joins_back(spark, parts, monkeypatch):
+    """Vertices keep their places' names, and cuts are laid in a row with the segments."""
+    known = sorted(map(tuple, q._pieces(q._brace_segments(spark, parts, topology.exact_vertices)).collect()))
+    for module in (materialise, topology):
+        monkeypatch.setattr(module, "with_rank", None)
+    out = q.split_segments(spark, parts)
+    assert sorted(map(tuple, out.collect())) == known and len({r[1] for r in known}) > 1
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+#: Lines that cross at a new place (three of them), at the end of a fourth, at a place where another group's line ends,
+#: touch inside, all but touch an end, meet end to end a little apart, turn back over a crossing, and have a gap.
+MEETING = [[(0, 0), (4, 4)], [(0, 4), (4, 0)], [(0, 2), (4, 2)], [(1, 1), (1, -1), (3, -1), (1, 1)], [(2, 0), (2, 0.5)], [(2, -2), (2, -0.95)], [(6, 0), (8, 0.05), (8, 3)], [(8.05, 0), (10, 2)], [(8, 1), (12, 1), (8, 1)], [(9, 0), (9, 2), (math.nan, 0), (9.5, 2), (9.5, 0)], [(20, 0), (30, 7)], [(20, 7), (30, 0)], [(50, -0.05), (50, 4)], [(46, -2), (46, -2), (47, -2)], [(46, 0), (50.05, 0)]]
+
+
+@pytest.mark.parametrize(("group", "tolerance"), [(None, 0.0), ("feature_idx % 2", 0.1), ("'0'", 0.1)])
+def test_named_vertices_split_alike(spark, group, tolerance):
+    told = {"group": F.expr(group)} if group else {}
+    if group == "'0'":  # with a connector, whose inner position stands alone
+        told["end_group"] = F.expr("if(feature_idx = 3, '1', '0')")
+    coords = topology.coordinates(features(spark, MEETING), **told)
+    known, found = (repair.split_intersections(topology.segments(f(coords), Metric()), Metric(), tolerance) for f in (topology.exact_vertices, topology.keyed_vertices))
+    rows = named(found[0])
+    assert rows == named(known[0]) and len(rows) > len(MEETING) + 6
+    # the least of two ends that all but meet takes both
+    assert [r[6:8] for r in rows if r[0] == 14] == ([(50, -0.05)] if tolerance else [(50, 0), (50.05, 0)])
+    assert sorted(map(tuple, found[1].collect())) == sorted(map(tuple, known[1].collect()))
+
+
+def test_cuts_on_both_sides_of_a_place(spark):
+    """Three lines through one place make one vertex; of a segment cut three times each piece begins where the last one ended."""
+    lines = [[(0, 0), (9, 0)], [(2, -1), (4, 1)], [(4, -1), (2, 1)], [(6, -2), (6, 0)], [(7, 1), (8, -1)], [(3, 5), (4, 5)]]
+    for vertices in (topology.exact_vertices, topology.keyed_vertices):
+        out, _ = repair.split_intersections(topology.segments(vertices(topology.coordinates(features(spark, lines))), Metric()), Metric())
+        rows = out.orderBy("feature_idx", "seg_idx").collect()
+        line = [r for r in rows if r["feature_idx"] == 0]
+        assert [(r["seg_idx"], r["ax"], r["bx"], r["length"]) for r in line] == [(0, 0, 3, 3), (1, 3, 6, 3), (2, 6, 7.5, 1.5), (3, 7.5, 9, 1.5)]
+        assert all(r["b"] == s["a"] for r, s in zip(line, line[1:], strict=False))
+        assert len({r["b"] for r in rows if (r["bx"], r["by"]) == (3, 0)}) == 1
+        assert [sum(r["feature_idx"] == f for r in rows) for f in range(6)] == [4, 2, 2, 1, 2, 1]
+        assert {r["b"] for r in rows if r["feature_idx"] == 3} == {line[1]["b"]}
