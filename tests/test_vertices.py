@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwright.functions.geometry import Metric
-from spanwright.operators import repair, topology
+from spanwright.operators import diagnostics, repair, topology
 from spanwright.plans import materialise
 from spanwright.plans import queries as q
 from tests.test_network import features
@@ -74,8 +74,9 @@ def test_pairs_are_looked_at_in_one_cell(spark):
     assert "HashAggregate" not in plan and all(" / " not in line for line in plan.splitlines() if "Join" in line)
 
 
-def test_rows_of_cells_are_not_broadcast(spark, parts):
-    plan = repair.intersections(q._brace_segments(spark, parts))._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("find", [repair.intersections, diagnostics.overlaps])
+def test_rows_of_cells_are_not_broadcast(spark, parts, find):
+    plan = find(q._brace_segments(spark, parts))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
